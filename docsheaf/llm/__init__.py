@@ -5,13 +5,15 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import chat, exact, quality, sharding, urls
+    from docsheaf.llm import chat, exact, packing, quality, sharding, tokenfile, urls
 
     return {
+        "op1_cost_packing": packing.query,
         "op3_feistel_shards": sharding.query,
         "op5_chat_collapse": chat.query,
         "op6_url_trust": urls.query,
         "op8_exact_dedup": exact.query,
+        "op9_rans_files": tokenfile.query,
         "op10_quality_ledger": quality.query,
     }
 

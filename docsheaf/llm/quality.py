@@ -42,7 +42,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbol_heavy", "10 * n_symbols > 3 * n_words"),
-    Rule(3, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "duplicate_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 25 * n_words"),
 )
@@ -154,7 +154,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-                 + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+                 + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
                  + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, n_lines FROM b
 """
