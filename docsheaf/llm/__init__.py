@@ -5,10 +5,11 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import chat, exact, packing, quality, sharding, tokenfile, urls
+    from docsheaf.llm import bpe, chat, exact, packing, quality, sharding, tokenfile, urls
 
     return {
         "op1_cost_packing": packing.query,
+        "op2_recursive_bpe": bpe.query,
         "op3_feistel_shards": sharding.query,
         "op5_chat_collapse": chat.query,
         "op6_url_trust": urls.query,
