@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import bpe, chat, exact, packing, quality, sharding, tokenfile, urls
+    from docsheaf.llm import bpe, chat, exact, ngram, packing, quality, sharding, tokenfile, urls
 
     return {
         "op1_cost_packing": packing.query,
@@ -13,6 +13,7 @@ def queries():
         "op3_feistel_shards": sharding.query,
         "op5_chat_collapse": chat.query,
         "op6_url_trust": urls.query,
+        "op7_trie_join": ngram.query,
         "op8_exact_dedup": exact.query,
         "op9_rans_files": tokenfile.query,
         "op10_quality_ledger": quality.query,
