@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.llm.components import components
@@ -179,9 +179,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ref[part[:-1]]), lists, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64())], schema=_SHARED_TYPE)
 
 
-def _minima(shared: str, sketches: int = SKETCHES):
+def _minima(shared: str, sketches: int = SKETCHES) -> Column:
     """The least hash of a node's shared shingles under each of several hash functions."""
-    return F.array(*[F.array_min(F.transform(shared, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(sketches)])
+
+    def least(salt: int) -> Column:
+        return F.array_min(F.transform(shared, lambda x: F.xxhash64(x, F.lit(salt))))
+
+    return F.array(*[least(k) for k in range(sketches)])
 
 
 def trie_links(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
