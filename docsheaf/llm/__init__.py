@@ -5,12 +5,13 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import bpe, chat, exact, ngram, packing, quality, sharding, tokenfile, urls
+    from docsheaf.llm import bpe, chat, exact, ngram, packing, pii, quality, sharding, tokenfile, urls
 
     return {
         "op1_cost_packing": packing.query,
         "op2_recursive_bpe": bpe.query,
         "op3_feistel_shards": sharding.query,
+        "op4_weak_pii": pii.query,
         "op5_chat_collapse": chat.query,
         "op6_url_trust": urls.query,
         "op7_trie_join": ngram.query,
