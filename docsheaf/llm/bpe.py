@@ -123,7 +123,7 @@ class Vocabulary:
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
     def _encode_new(self, pieces: list[str], cache: dict[str, bytes]) -> list[bytes]:
-        matches = [[p] if p.isalpha() or (p[:1] == " " and p[1:].isalpha()) else self.split(p) for p in pieces]
+        matches = [tokens.matches(p, self.split) for p in pieces]
         known: dict[str, bytes] = {}
         short, long = [], []
         for match in dict.fromkeys(m for own in matches for m in own):

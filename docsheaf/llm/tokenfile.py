@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from docsheaf.llm import tokens
 from docsheaf.llm.shared import new_path, read_documents
 
-BITS, LANES, STEPS, CHECK = 20, 512, 512, 128
+BITS, LANES, STEPS, CHECK = 20, 2048, 256, 128
 LOW = np.uint64(1 << 31)
-SEGMENT_TOKENS, FILE_BYTES, END_ID = 2_000_000, 32_000_000, 2
+SEGMENT_TOKENS, FILE_BYTES, END_ID = 1_500_000, 24_000_000, 2
+#: Quantiles of doc_id that one pass estimates; the most files there can be.
+FINEST = 10_000
 BLOCK_TYPE = pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("steps", pa.int32()), ("lanes", pa.int32()), ("states", pa.binary()), ("offsets", pa.list_(pa.int32())), ("words", pa.binary())])
 SEGMENT_SCHEMA = "segment long, n_tokens long, doc_ids array<bigint>, doc_tokens array<int>, table binary, blocks array<struct<n: int, crc: bigint, steps: int, lanes: int, states: binary, offsets: array<int>, words: binary>>"
 SEGMENT_TYPE = pa.schema([("segment", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("table", pa.binary()), ("blocks", pa.list_(BLOCK_TYPE))])
@@ -54,7 +56,7 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, filler: i
     steps = -(-len(ids) // lanes)
     grid = np.full(steps * lanes, filler, dtype=np.int64)
     grid[: len(ids)] = ids
-    f, c = freq[grid].astype(np.uint64).reshape(steps, lanes), start[grid].astype(np.uint64).reshape(steps, lanes)
+    f, c = freq[grid].reshape(steps, lanes), start[grid].reshape(steps, lanes)
     state = np.full(lanes, LOW, dtype=np.uint64)
     words, wrote = np.zeros((steps, lanes), dtype=np.uint32), np.zeros((steps, lanes), dtype=bool)
     limit_shift, word, bits = np.uint64(31 - BITS + 32), np.uint64(32), np.uint64(BITS)
@@ -63,8 +65,8 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, filler: i
         over = state >= (f[step] << limit_shift)
         words[step], wrote[step] = state.astype(np.uint32), over
         state = np.where(over, state >> word, state)
-        high, low = np.divmod(state, f[step])
-        state = (high << bits) + low + c[step]
+        high = state // f[step]
+        state = (high << bits) + (state - high * f[step]) + c[step]
         if step % CHECK == 0:
             states.append(state)
     written = np.concatenate([[0], np.cumsum(wrote.sum(axis=1))])
@@ -94,7 +96,7 @@ def decode_block(block: dict, freq: np.ndarray, start: np.ndarray, symbol: np.nd
         slot = x & mask
         ids = symbol[slot.astype(np.int64)]
         grid[:live, step] = ids
-        x = freq[ids].astype(np.uint64) * (x >> bits) + slot - start[ids].astype(np.uint64)
+        x = freq[ids] * (x >> bits) + slot - start[ids]
         need = x < LOW
         taken = at[:live, None] + np.cumsum(need, axis=1)
         x = np.where(need, (x << word) | words[np.minimum(taken - 1, len(words) - 1)], x)
@@ -108,16 +110,16 @@ def decode_block(block: dict, freq: np.ndarray, start: np.ndarray, symbol: np.nd
 
 def encode_segment(ids: np.ndarray) -> tuple[bytes, list[dict]]:
     """The table and the blocks of a segment."""
-    freq = frequencies(ids)
-    start = (np.cumsum(freq) - freq).astype(np.uint32)
+    freq = frequencies(ids).astype(np.uint64)
+    start = np.cumsum(freq) - freq
     size = LANES * STEPS
     return zlib.compress(freq.astype("<u4").tobytes(), 1), [encode_block(ids[k : k + size], freq, start, int(freq.argmax())) for k in range(0, len(ids), size)]
 
 
 def decode_segment(table: bytes, blocks: list[dict]) -> np.ndarray:
-    freq = np.frombuffer(zlib.decompress(table), dtype="<u4")
-    start = (np.cumsum(freq) - freq).astype(np.uint32)
-    symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+    freq = np.frombuffer(zlib.decompress(table), dtype="<u4").astype(np.uint64)
+    start = np.cumsum(freq) - freq
+    symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
     parts = [decode_block(b, freq, start, symbol) for b in blocks]
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
 
@@ -174,10 +176,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
     Texts are encoded where they are read; only ids, two bytes each, are dealt to the files.  The
     ranges of the files are quantiles of doc_id, one number per file on the driver.
     """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    files = max(1, -(-size // file_bytes))
-    bounds = docs.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.1 / files) if files > 1 else []
-    bounds = sorted({int(b) for b in bounds})
+    points = F.percentile_approx("doc_id", [k / FINEST for k in range(1, FINEST)], 10 * FINEST)
+    seen = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), points.alias("points")).first()
+    files = max(1, -(-(seen["bytes"] or 0) // file_bytes))
+    points = seen["points"] or []
+    bounds = sorted({points[k * FINEST // files - 1] for k in range(1, files) if k * FINEST // files}) if points else []
     number = F.lit(0)
     if bounds:
         number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))

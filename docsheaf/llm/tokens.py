@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 #: Code points that either Python or the vocabularies' own libraries take as white space.
 _WS = r"\t-\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _CAREFUL = f"[ \\n][{_WS}]|[{_WS}][ \\n]\\z"
+_MARKS = frozenset(".,;:!?")
 #: UTF-8 bytes of text that are encoded at once, and pieces that a worker remembers.
 BATCH_BYTES, CACHE_PIECES = 6_000_000, 700_000
 
@@ -125,6 +126,16 @@ def match_finder(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
 
+def matches(piece: str, split: Callable[[str], list[str]]) -> list[str]:
+    """The pattern's matches of a piece; letters, perhaps before one mark, need no pattern."""
+    if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+        return [piece]
+    body, mark = piece[:-1], piece[-1:]
+    if mark in _MARKS and (body.isalpha() or (body[:1] == " " and body[1:].isalpha())):
+        return [body, mark]
+    return split(piece)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -154,16 +165,15 @@ def tokenizer_coder(path: str) -> PieceCoder:
         spelling = dict(enumerate(byte_alphabet()))
 
         def encode_match(match: str) -> bytes:
-            spelled = match.encode().decode("latin-1").translate(spelling)
+            plain = match.isascii() and match[1:].isalpha() and (match[0] == " " or match[0].isalpha())
+            spelled = (spelling[32] + match[1:] if match[0] == " " else match) if plain else match.encode().decode("latin-1").translate(spelling)
             return array.array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
 
         def encode_new(pieces: list[str], cache: dict[str, bytes]) -> list[bytes]:
-            out = []
+            known, out = cache.get, []
             for piece in pieces:
-                if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
-                    out.append(encode_match(piece))
-                else:
-                    out.append(b"".join([cache.get(m) or encode_match(m) for m in split(piece)]))
+                own = matches(piece, split)
+                out.append(encode_match(piece) if len(own) == 1 else b"".join([known(m) or encode_match(m) for m in own]))
             return out
 
         _CODERS[path] = PieceCoder(split, encode_new)
