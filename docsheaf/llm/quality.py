@@ -114,6 +114,17 @@ def apply_policy(led: DataFrame, version: str = CURRENT, policies: dict[str, int
     return led.drop("kept").withColumn("kept", passes((policies or POLICIES)[version]))
 
 
+def kept_rows(led: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of a ledger that a policy keeps.
+
+    A plain filter would be pushed below the measures, and each of their references evaluated anew;
+    a condition on a row number, which is not deterministic, has to stay above them.
+    """
+    barrier = free_name(led, "__row")
+    rows = apply_policy(led, version).withColumn(barrier, F.monotonically_increasing_id())
+    return rows.filter(F.col("kept") & (F.col(barrier) >= 0)).drop(barrier)
+
+
 def ablation(led: DataFrame, version: str = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: failed rows, rows it rejects alone, rows kept without it.
 
@@ -137,8 +148,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the current policy keeps, with their own columns."""
-    led = apply_policy(ledger(docs))
-    return led.filter("kept").select(*docs.columns)
+    return kept_rows(ledger(docs)).select(*docs.columns)
 
 
 SQL = r"""
