@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 80
 #: Minima per node; nodes of one trie block; shingles of one hash range; bytes of text packed together.
 SKETCHES, BLOCK_NODES, RANGE_SHINGLES, CHUNK_BYTES = 4, 1000, 2_000_000, 10_000_000
 PACKED_SCHEMA = "bucket int, chunk long, n int, shingles binary, owners binary, nodes binary, doc_ids array<bigint>, sizes array<int>, keys array<bigint>"
-SHARED_SCHEMA = "ref long, shared array<bigint>, doc_id long, size int, key long"
+SHARED_SCHEMA = "chunk long, refs array<bigint>, counts array<int>, shared array<bigint>, doc_ids array<bigint>, sizes array<int>, keys array<bigint>"
 
 
 def needed(n):
@@ -131,7 +131,8 @@ def _packed(buckets: int, words: int):
     return run
 
 
-_SHARED_TYPE = pa.schema([("ref", pa.int64()), ("shared", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.int64())])
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_SHARED_TYPE = pa.schema([("chunk", pa.int64()), ("refs", _LONGS), ("counts", _INTS), ("shared", _LONGS), ("doc_ids", _LONGS), ("sizes", _INTS), ("keys", _LONGS)])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +145,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             base = row["chunk"] << 16
             if row["doc_ids"] is not None:
-                count = len(row["doc_ids"])
-                columns = [pa.array(base + np.arange(count)), pa.nulls(count, pa.list_(pa.int64())), pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int32()), pa.array(row["keys"], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=_SHARED_TYPE)
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("chunk", "doc_ids", "sizes", "keys")}], schema=_SHARED_TYPE)
             if n := row["n"]:
                 table = len(row["nodes"]) // 10
                 used, known = np.frombuffer(row["nodes"], dtype="<u2", count=table), np.frombuffer(row["nodes"], dtype="<u8", offset=2 * table)
@@ -171,12 +170,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value, ref = (value[several] | (rank << np.uint64(56))).astype(np.int64), ref[several]
     order = np.lexsort((value, ref))
     value, ref = value[order], ref[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]])), len(ref)) if len(ref) else np.zeros(1, dtype=np.int64)
-    for at in range(0, len(edges) - 1, 5000):
-        part = edges[at : at + 5001]
-        count = len(part) - 1
-        lists = pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(value[part[0] : part[-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ref[part[:-1]]), lists, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64())], schema=_SHARED_TYPE)
+    chunk = ref >> 16
+    edges = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(ref)) if len(ref) else np.zeros(1, dtype=np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        refs, counts = np.unique(ref[lo:hi], return_counts=True)
+        row = {"chunk": int(chunk[lo]), "refs": refs, "counts": counts, "shared": value[lo:hi]}
+        yield pa.RecordBatch.from_pylist([row], schema=_SHARED_TYPE)
+
+
+def _regrouped(rows: pa.Table) -> pa.Table:
+    """The rows that all ranges have for one chunk, by node: each node's shared shingles in global order."""
+    lists = [_items(rows.column(c)) for c in ("refs", "counts", "shared")]
+    ref, value = np.repeat(lists[0], lists[1]), lists[2]
+    order = np.lexsort((value, ref))
+    ref, value = ref[order], value[order]
+    starts = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]]))
+    shared = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(ref))), pa.array(value)).cast(_LONGS)
+    return pa.table({"ref": pa.array(ref[starts]), "shared": shared})
+
+
+def _items(column: pa.ChunkedArray) -> np.ndarray:
+    """All items of a list column, in order."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
 
 
 def _minima(shared: str, sketches: int = SKETCHES) -> Column:
@@ -300,9 +315,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sketches: int = SKETCHE
     buckets = max(1, -(-size // (7 * range_shingles)))
     packed = docs.mapInArrow(_packed(buckets, words), PACKED_SCHEMA)
     found = cut(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, SHARED_SCHEMA))
-    documents = found.filter("size is not null").select("ref", "doc_id", F.col("size").alias("n"), "key")
+    zipped = F.posexplode(F.arrays_zip("doc_ids", "sizes", "keys")).alias("at", "d")
+    documents = found.filter("doc_ids is not null").select("chunk", zipped).select((F.shiftleft("chunk", 16) + F.col("at")).alias("ref"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.keys").alias("key"))
     sets = documents.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("ref").alias("node"))
-    own = found.filter("shared is not null").groupBy("ref").agg(F.array_sort(F.flatten(F.collect_list("shared"))).alias("shared"))
+    own = found.filter("refs is not null").select("chunk", "refs", "counts", "shared").groupBy("chunk").applyInArrow(_regrouped, "ref long, shared array<bigint>")
     need = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     nodes = own.join(sets, own["ref"] == sets["node"]).select("node", "n", "shared", (F.size("shared") - need + 1).alias("prefix")).filter("prefix > 0")
     nodes = cut(nodes.withColumn("minima", _minima("shared", sketches)))
