@@ -32,7 +32,7 @@ def catalogue(units: DataFrame, models: DataFrame) -> DataFrame:
 
 def knowledge(spark: SparkSession, path: str, family: str | None = None) -> DataFrame:
     """(path, text) of all text files below a folder, comments stripped; a family limits them to its own and shared ones."""
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_replace(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), r"(?m)^\s*#.*$", "")).alias("text"))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.btrim(F.regexp_replace(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), r"(?m)^\s*#.*$", ""), F.lit(" \r\n\t")).alias("text"))
     return df if family is None else df.filter(F.col("path").contains(f"/{family}/") | F.col("path").contains("/common/"))
 
 
