@@ -6,9 +6,9 @@ behind, IPv6 addresses, spelled-out mail addresses.  Labelers vote on every base
 (+ for personal data, - against it, 0 abstains): the shape with its checks, a gazetteer of prefixes
 and endings, words in front, edges, and neighbours.
 
-``fit`` counts the vote patterns of all documents in Spark.  There are at most ``4 * 3**5`` patterns, so the
+``fit`` counts the vote patterns of all documents in Spark.  There are at most ``2 * 4 * 3**5`` patterns, so the
 driver can run expectation-maximisation on the counts: it estimates, without any label, how
-reliable each labeler is, and how likely each pattern is personal data.  With these soft labels it trains
+reliable each labeler is for each kind, and how likely each pattern is personal data.  With these soft labels it trains
 a logistic classifier over the votes and kinds.  ``detect`` runs that classifier on the candidates; base
 spans always stay.
 
@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "gazetteer", "context", "edges", "neighbour")
 #: A candidate becomes a span when the classifier gives it this probability.
 ACCEPT = 0.8
+#: Weight, in spans, of all kinds together in the reliabilities of one kind.
+POOLED = 10
 #: Characters before a span that the context labeler reads, and around it that the neighbour labeler does.
 BEFORE, AROUND = 40, 60
 
@@ -155,7 +157,7 @@ def votes(text: str, span: tuple[str, int, int], starts: np.ndarray, ends: np.nd
 
 
 def labelled(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], list[str]]:
-    """Base spans, candidates, and the vote patterns of both in turn."""
+    """Base spans, candidates, and the vote patterns of both in turn; those of base spans end in ``!``."""
     text = text or ""
     base = base_spans(text)
     more = candidates(text, base)
@@ -163,15 +165,15 @@ def labelled(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
         return base, more, []
     starts = np.sort(np.array([s[1] for s in base + more]))
     ends = np.sort(np.array([s[2] for s in base + more]))
-    return base, more, [votes(text, s, starts, ends) for s in base + more]
+    return base, more, [votes(text, s, starts, ends) + "!" for s in base] + [votes(text, s, starts, ends) for s in more]
 
 
 @dataclass
 class Model:
-    """Labeler reliabilities (P of +, 0, - given personal data or not) and the classifier's probability of each pattern."""
+    """Labeler reliabilities by kind (P of +, 0, - given personal data or not) and the classifier's probability of each pattern."""
 
     prior: dict[str, float]
-    reliability: dict[str, dict[str, tuple[float, float, float]]]
+    reliability: dict[str, dict[str, dict[str, tuple[float, ...]]]]
     probability: dict[str, float]
 
     def accepts(self, pattern: str) -> bool:
@@ -181,27 +183,38 @@ class Model:
 def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> Model:
     """Reliabilities and soft labels from pattern counts, then the classifier.
 
-    Labelers are taken as independent given the truth; their reliabilities hold for all kinds, the share of
-    personal data is each kind's own.  It starts from the majority of votes; one count is added everywhere.
+    Labelers are taken as independent given the truth and the kind.  A kind's reliabilities lean on those of
+    all kinds together as on POOLED further spans, so that rare kinds are not estimated from a few.  Base
+    spans are personal data by definition: they give the rates for personal data, and the rounds estimate
+    the rates for the rest and the share of both, starting from the candidates' majority of votes.  (If
+    candidates could move the first rates too, a kind with two informative labelers may swap the
+    meaning of its classes.)  One count is added everywhere.
     """
     patterns = sorted(counts)
     if not patterns:
         return Model({}, {}, {})
     weight = np.array([counts[p] for p in patterns], dtype=float)
-    kind = np.array([KINDS.index(p.split(":")[0]) for p in patterns])
-    vote = np.array([["+0-".index(c) for c in p.split(":")[1]] for p in patterns])
+    kind = np.eye(len(KINDS))[[KINDS.index(p.split(":")[0]) for p in patterns]]
+    vote = np.array([["+0-".index(c) for c in p.split(":")[1][: len(LABELERS)]] for p in patterns])
+    anchored = np.array([p.endswith("!") for p in patterns])
     seen = np.eye(3)[vote]
-    truth = 1 / (1 + np.exp(-2.0 * (1 - vote).sum(axis=1)))
+    truth = np.where(anchored, 1.0, 1 / (1 + np.exp(-2.0 * (1 - vote).sum(axis=1))))
+
+    def rates(mass: np.ndarray) -> np.ndarray:
+        """P(vote) by kind and labeler, from the spans' mass."""
+        own = np.einsum("p,pk,plv->klv", mass, kind, seen)
+        pooled = 1 + own.sum(axis=0)
+        out = own + POOLED * pooled / pooled.sum(axis=1, keepdims=True)
+        return out / out.sum(axis=2, keepdims=True)
+
     for _ in range(rounds):
-        share = np.array([(1 + (weight * truth)[kind == k].sum()) / (2 + weight[kind == k].sum()) for k in range(len(KINDS))])
-        yes = 1 + np.einsum("p,plv->lv", weight * truth, seen)
-        no = 1 + np.einsum("p,plv->lv", weight * (1 - truth), seen)
-        yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
-        log = np.log(share[kind]) - np.log1p(-share[kind]) + np.einsum("plv,lv->p", seen, np.log(yes) - np.log(no))
-        truth = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    features = np.concatenate([np.eye(len(KINDS))[kind], seen.reshape(len(patterns), -1)], axis=1)
+        share = (1 + kind.T @ (weight * truth)) / (2 + kind.T @ weight)
+        yes, no = rates(weight * anchored), rates(weight * (1 - truth))
+        log = kind @ (np.log(share) - np.log1p(-share)) + np.einsum("pk,plv,klv->p", kind, seen, np.log(yes) - np.log(no))
+        truth = np.where(anchored, 1.0, 1 / (1 + np.exp(-np.clip(log, -30, 30))))
+    features = np.concatenate([kind, np.einsum("pk,plv->pklv", kind, seen).reshape(len(patterns), -1), seen.reshape(len(patterns), -1)], axis=1)
     probability = logistic(features, truth, weight)
-    reliability = {name: {"yes": tuple(yes[k]), "no": tuple(no[k])} for k, name in enumerate(LABELERS)}
+    reliability = {k: {name: {"yes": tuple(yes[i, j]), "no": tuple(no[i, j])} for j, name in enumerate(LABELERS)} for i, k in enumerate(KINDS)}
     return Model(dict(zip(KINDS, share.tolist(), strict=True)), reliability, dict(zip(patterns, probability.tolist(), strict=True)))
 
 

@@ -78,7 +78,7 @@ def test_model_finds_what_the_patterns_miss(spark):
     assert len(missed) <= 0.1 * len(hidden)
     assert not [a for a in added if a[2] == "1234567890123456"]
     assert len(added) <= len(hidden) * 1.2
-    assert model.reliability["shape"]["yes"][0] > model.reliability["shape"]["no"][0]
+    assert model.reliability["card"]["shape"]["yes"][0] > model.reliability["card"]["shape"]["no"][0]
     for d, spans in found.items():
         assert [(s["kind"], s["start"], s["end"]) for s in spans if s["base"]] == plain(texts[d])
 
