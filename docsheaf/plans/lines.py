@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
 from docsheaf.functions import specs
-from docsheaf.operators import conditions, matching, rulepack, sampling, summaries, verdicts, versions
+from docsheaf.operators import conditions, matching, reconcile, rulepack, sampling, summaries, verdicts, versions
 from docsheaf.plans.tables import table
 
 SQL: dict[str, str] = {}
@@ -326,7 +326,22 @@ def material_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(demand.join(slots, ["plan", "k"], "left").select("plan", "demand", "slot"), "plan")
 
 
+def segment_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as checks of their order: the part's name is the item, so containment groups them."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item")), "l_partkey")
+    checks = lines.select("l_orderkey", "item", _verdict().alias("verdict"), F.col("l_quantity").cast("string").alias("reported"), (F.col("l_quantity") > 20).alias("evidenced"), F.col("l_linenumber").alias("segment"), "l_partkey", "l_suppkey")
+    return reconcile.segment_consensus(checks, ["l_orderkey"], ["segment", "l_partkey", "l_suppkey"])
+
+
+def report_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item")), "l_partkey")
+    pos = F.col("l_linenumber") * 100_000 + F.col("l_partkey")
+    checks = lines.filter("l_linenumber <= 4").select("l_orderkey", pos.alias("pos"), "item", _verdict().alias("verdict"))
+    findings = lines.filter("l_linenumber > 4").select("l_orderkey", pos.alias("pos"), "item", F.when(F.col("l_discount") > 0.05, "must_fix").otherwise("suggestion").alias("severity"), (F.col("l_tax") > 0).alias("action_required"))
+    return reconcile.conclusions(checks, findings, "l_orderkey")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (condition_tree_eval, latest_rule_version, fact_conflicts, numeric_range_rule, required_coverage, change_rate_recompute, step_table_lookup, param_range_join, unique_or_unresolved, alias_fallback_binding, verdict_consensus, first_wins_dedupe, missing_suppressed, budget_topk, field_verdict_rollup, action_consistency, rule_pack, label_4gram_match, spec_facts, model_envelope, display_intervals, candidate_expansion, coverage_tasks, task_feasibility, set_cover_plan, material_matching)
+    for f in (condition_tree_eval, latest_rule_version, fact_conflicts, numeric_range_rule, required_coverage, change_rate_recompute, step_table_lookup, param_range_join, unique_or_unresolved, alias_fallback_binding, verdict_consensus, first_wins_dedupe, missing_suppressed, budget_topk, field_verdict_rollup, action_consistency, rule_pack, label_4gram_match, spec_facts, model_envelope, display_intervals, candidate_expansion, coverage_tasks, task_feasibility, set_cover_plan, material_matching, segment_consensus, report_conclusions)
 }
