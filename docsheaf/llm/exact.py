@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsheaf.llm.shared import SPACES, cut, new_path, read_documents, whole_text
+from docsheaf.llm.shared import cut, new_path, read_documents, whole_text
 
 #: Buckets of a new index; a production index of 100 TB would take some thousands.
 BUCKETS = 32
