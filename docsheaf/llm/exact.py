@@ -15,11 +15,12 @@ null ids are allowed and lose ties; other columns, whatever their names, are not
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsheaf.llm.shared import cut, new_path, read_documents, whole_text
+from docsheaf.llm.shared import cut, free_name, new_path, read_documents, row_keys, whole_text
 
 #: Buckets of a new index; a production index of 100 TB would take some thousands.
 BUCKETS = 32
@@ -30,9 +31,9 @@ def digest(text: str | Column = "text") -> Column:
     return F.unhex(F.sha2(F.encode(F.regexp_replace(whole_text(text), r"[\x20\x09-\x0D]+", ""), "UTF-8"), 256))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest, n_chars): all that deduplication needs of a row."""
-    return docs.select(docs[id_col].alias("id"), digest(docs[text]).alias("digest"), F.length(whole_text(docs[text])).cast("long").alias("n_chars"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """(id, digest, n_chars): all that deduplication needs of a row; then the columns ``more``."""
+    return docs.select(docs[id_col].alias("id"), digest(docs[text]).alias("digest"), F.length(whole_text(docs[text])).cast("long").alias("n_chars"), *more)
 
 
 class DigestIndex:
@@ -91,9 +92,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with their own columns; of repeated rows with one id one stays."""
-    kept = deduplicate(docs).filter("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: one row of each digest group stays, with its own columns.
+
+    Rows are known by id and text, so rows that share an id, null too, but no digest stay side by side.
+    """
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    keys = [k.alias(c) for k, c in zip(row_keys(docs["doc_id"], docs["text"]), (k1, k2), strict=True)]
+    best = F.max(F.struct("n_chars", (-F.col("id")).alias("neg"), k1, k2)).alias("best")
+    kept = digests(docs, more=keys).groupBy("digest").agg(best).select(f"best.{k1}", f"best.{k2}")
+    return docs.select("*", *keys).join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
 
 
 SQL = r"""

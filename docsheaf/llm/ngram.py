@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.llm.components import components
-from docsheaf.llm.shared import cut, read_documents, whole_text
+from docsheaf.llm.shared import cut, free_name, read_documents, row_keys, whole_text
 from docsheaf.llm.tokens import slices
 
 WORDS, PERCENT = 5, 80
@@ -346,6 +346,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; so do all without words."""
-    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select(*docs.columns)
+    """Pipeline stage: of each component one row stays, that with the smallest id, null last; so do all rows without words.
+
+    The join knows a row by a hash of its id and text, so rows may share an id or have none.
+    """
+    k1, k2, blank = (free_name(docs, c) for c in ("k1", "k2", "blank"))
+    keys = row_keys(docs["doc_id"], docs["text"])
+    ids = docs.select(keys[0].alias("row"), docs["doc_id"].alias("id")).distinct()
+    found = near_duplicates(docs.select(keys[0].alias("doc_id"), "text"))
+    rows = found.select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("words")).distinct().join(ids, "row")
+    kept = rows.groupBy("component_id", "words").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("first.row").alias(k1))
+    keyed = docs.select("*", keys[0].alias(k1), keys[1].alias(k2)).join(kept, k1, "left_semi")
+    own = F.when(~F.rlike(whole_text(keyed["text"]), F.lit(r"[^\x20\x09-\x0D]")), F.monotonically_increasing_id())
+    return keyed.withColumn(blank, own).dropDuplicates([k1, k2, blank]).select(*docs.columns)

@@ -41,6 +41,13 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def row_keys(id_col: str | Column = "doc_id", text: str | Column = "text") -> list[Column]:
+    """Two 64-bit hashes that stand for a row's id and text; only rows with the same id, null too, and text share both."""
+    one = F.col(id_col) if isinstance(id_col, str) else id_col
+    parts = [one.isNull(), F.coalesce(one.cast("string"), F.lit("")), whole_text(text)]
+    return [F.xxhash64(*parts), F.xxhash64(parts[2], parts[1], parts[0], F.lit("second"))]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docsheaf.llm import exact, pii, quality
+from docsheaf.llm import exact, ngram, pii, quality
 from tests.llm.test_ngram import brute
 
 
@@ -59,3 +59,20 @@ def test_exact_index_persists(spark, tmp_path):
     assert got == {5: (5, True), 6: (6, True), 7: (2, False), 8: (3, False)}
     assert index.read().count() == 5
     assert np.array_equal(sorted(r["keep_id"] for r in again.read().collect()), [2, 3, 4, 5, 6])
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark):
+    def words(seed):
+        return " ".join(f"w{seed}x{j}" for j in range(40))
+
+    exact_rows = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (8, words(4) + " "), (9, words(5)), (None, words(5)), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in exact_rows], "doc_id long, text string, k1 string")
+    got = sorted(((r["doc_id"], r["text"]) for r in exact.stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, words(1)), (None, words(2)), (7, words(3)), (8, words(4) + " "), (9, words(5)), (None, " ")], key=str)
+    near_rows = [(None, words(1)), (None, words(2)), (None, words(2) + " end"), (7, words(3)), (7, words(4)), (8, words(4) + " end"), (6, words(3) + " end"), (None, words(3) + " more"), (5, words(6)), (5, words(6)), (None, None), (None, None), (4, ""), (4, " ")]
+    docs = spark.createDataFrame([(d, t, "clash") for d, t in near_rows], "doc_id long, text string, blank string")
+    got = [(r["doc_id"], r["text"]) for r in ngram.stage(spark, docs, "").collect()]
+    second = [g for g in got if g[0] is None and (g[1] or "").startswith("w2x")]
+    assert len(second) == 1
+    rest = sorted((g for g in got if g not in second), key=str)
+    assert rest == sorted([(None, words(1)), (7, words(4)), (6, words(3) + " end"), (5, words(6)), (None, None), (None, None), (4, ""), (4, " ")], key=str)
