@@ -65,9 +65,9 @@ def plan(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR,
     return pieces
 
 
-def _packed(path: str, capacity: int, end_id: int, pool_tokens: int):
+def _packed(path: str, capacity: int, end_id: int, pool_tokens: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.tokenizer_coder(path)
+        coder = tokens.tokenizer_coder(path, added)
         following = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         end = np.array([end_id], dtype="<u4")
         docs: list = []
@@ -113,9 +113,9 @@ def _packed(path: str, capacity: int, end_id: int, pool_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS) -> DataFrame:
-    """Pieces of the documents (doc_id, text) with their ids, as in SCHEMA."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(path, capacity, end_id, pool_tokens), SCHEMA)
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS, added: bool = False) -> DataFrame:
+    """Pieces of the documents (doc_id, text) with their ids, as in SCHEMA; ``added`` as in tokenizer_coder()."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(path, capacity, end_id, pool_tokens, added), SCHEMA)
 
 
 def _vocabulary() -> str:
@@ -126,10 +126,10 @@ def _vocabulary() -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: packs all documents."""
-    pieces = pack(read_documents(spark, sf_dir), _vocabulary())
+    pieces = pack(read_documents(spark, sf_dir), _vocabulary(), added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the pieces of the documents that are left."""
-    return pack(docs, _vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, _vocabulary(), added=True).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

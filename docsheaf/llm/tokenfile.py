@@ -124,9 +124,9 @@ def decode_segment(table: bytes, blocks: list[dict]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.tokenizer_coder(path)
+        coder = tokens.tokenizer_coder(path, added)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for part in tokens.slices(batch, "text"):
@@ -170,8 +170,8 @@ def _segments(segment_tokens: int):
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Writes (doc_id, text) as token files, ascending by doc_id.
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES, segment_tokens: int = SEGMENT_TOKENS, added: bool = False) -> None:
+    """Writes (doc_id, text) as token files, ascending by doc_id; ``added`` as in tokenizer_coder().
 
     Texts are encoded where they are read; only ids, two bytes each, are dealt to the files.  The
     ranges of the files are quantiles of doc_id, one number per file on the driver.
@@ -184,7 +184,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
     number = F.lit(0)
     if bounds:
         number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))
-    encoded = docs.select(F.coalesce(number, F.lit(0)).cast("int").alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(vocabulary, end_id), "file int, doc_id long, n long, ids binary")
+    encoded = docs.select(F.coalesce(number, F.lit(0)).cast("int").alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(vocabulary, end_id, added), "file int, doc_id long, n long, ids binary")
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("doc_id").select("doc_id", "n", "ids")
     dealt.mapInArrow(_segments(segment_tokens), SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
 
@@ -228,6 +228,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-files")
-    write(read_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write(read_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     docs = read(spark, path).select("segment", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return docs.join(segment_starts(spark, path), "segment").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,13 +8,14 @@ with numpy.  Texts where a space or line break is followed by other white space,
 white space characters, are cut by a slower expression with the same property.
 
 Defined cases: a null text is encoded as an empty one (no ids); strings that name special tokens
-are ordinary text.
+are ordinary text, or with ``added`` the file's added tokens, as the library takes them.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,11 +48,11 @@ class PieceCoder:
     """Encodes batches of texts by way of their distinct pieces.
 
     ``split`` cuts a text into the pattern's matches; ``encode_new(pieces, cache)`` maps pieces to
-    little-endian 32-bit id strings.
+    little-endian 32-bit id strings.  Texts that hold one of the strings ``added`` are always cut by ``split``.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode_new: Callable[[list[str], dict], list[bytes]], cache_pieces: int = CACHE_PIECES):
-        self.split, self.encode_new, self.cache_pieces = split, encode_new, cache_pieces
+    def __init__(self, split: Callable[[str], list[str]], encode_new: Callable[[list[str], dict], list[bytes]], cache_pieces: int = CACHE_PIECES, added: tuple[str, ...] = ()):
+        self.split, self.encode_new, self.cache_pieces, self.added = split, encode_new, cache_pieces, added
         self.cache: dict[str, bytes] = {}
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
@@ -72,6 +73,8 @@ class PieceCoder:
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
         slow = pc.match_substring_regex(texts, _CAREFUL).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            slow = slow | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         quick = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         counts = pc.list_value_length(quick).to_numpy().astype(np.int64)
         starts = np.cumsum(counts) - counts
@@ -147,21 +150,35 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-_CODERS: dict[str, PieceCoder] = {}
+_CODERS: dict[tuple[str, bool], PieceCoder] = {}
 
 
-def tokenizer_coder(path: str) -> PieceCoder:
+def tokenizer_coder(path: str, added: bool = False) -> PieceCoder:
     """The coder of a byte-level vocabulary of the tokenizers library; one in each worker process.
 
-    Unknown pieces are split by the public pattern and go through the library's own BPE model.
+    Unknown pieces are split by the public pattern and go through the library's own BPE model.  With
+    ``added`` texts are first split at the file's added tokens, so the ids are those of the library as it loads the file.
     """
-    if path not in _CODERS:
+    if (path, added) not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
-        split = match_finder(public_tokenizers.PATTERN)
+        library = Tokenizer.from_file(path)
+        model = library.model
+        plain_split = split = match_finder(public_tokenizers.PATTERN)
+        own_ids: dict[str, bytes] = {}
+        if added:
+            for number, token in library.get_added_tokens_decoder().items():
+                if token.lstrip or token.rstrip or token.single_word or token.normalized:
+                    raise ValueError(f"added token {token.content!r} does not stand for its plain text alone")
+                own_ids[token.content] = array.array("I", [number]).tobytes()
+        if own_ids:
+            # The longest of those that begin at one place, as in the library.
+            cuts = re.compile("(" + "|".join(map(re.escape, sorted(own_ids, key=len, reverse=True))) + ")")
+
+            def split(text: str) -> list[str]:
+                return [m for part in cuts.split(text) for m in ([part] if part in own_ids else plain_split(part))]
         spelling = dict(enumerate(byte_alphabet()))
 
         def encode_match(match: str) -> bytes:
@@ -172,9 +189,12 @@ def tokenizer_coder(path: str) -> PieceCoder:
         def encode_new(pieces: list[str], cache: dict[str, bytes]) -> list[bytes]:
             known, out = cache.get, []
             for piece in pieces:
-                own = matches(piece, split)
+                if piece in own_ids:
+                    out.append(own_ids[piece])
+                    continue
+                own = matches(piece, plain_split)
                 out.append(encode_match(piece) if len(own) == 1 else b"".join([known(m) or encode_match(m) for m in own]))
             return out
 
-        _CODERS[path] = PieceCoder(split, encode_new)
-    return _CODERS[path]
+        _CODERS[path, added] = PieceCoder(split, encode_new, added=tuple(own_ids))
+    return _CODERS[path, added]

@@ -36,6 +36,26 @@ def test_pieces_agree_with_the_library(library):
     assert got == library(texts)
 
 
+def test_queries_take_added_tokens_as_the_library_does(spark, tmp_path):
+    loaded = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|", "endoftext", "|>", " ", "  ", "\n", "a", " b", "'s", "\u6f22", "9", ". "]
+    texts = ["ab <|endoftext|> cd", "plain text", *EDGES] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(500)]
+    expected = [e.ids for e in loaded.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert expected[0] == [397, 220, 50256, 22927]
+    ids, counts = tokens.tokenizer_coder(VOCABULARY, added=True).encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    at = 0
+    written = {r["doc_id"]: r for r in tokenfile.query(spark, f"file://{tmp_path}").collect()}
+    packed = {r["doc_id"]: r["doc_tokens"] for r in packing.query(spark, f"file://{tmp_path}").collect()}
+    for doc, own in enumerate(expected):
+        r = written[doc]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(own) + 1, zlib.crc32(np.array([*own, 2], dtype="<u4").tobytes()))
+        assert packed[doc] == len(own) + 1
+        at += len(own) + 1
+
+
 def test_cache_stays_bounded():
     coder = tokens.PieceCoder(str.split, lambda pieces, cache: [b"\0\0\0\0" for _ in pieces], cache_pieces=10)
     for k in range(30):
