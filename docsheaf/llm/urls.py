@@ -11,7 +11,9 @@ Edges: absolute ``href`` and ``src`` links between hosts, each pair counted once
 mostly share what they publish.  Seeds weigh with the pages of the host that a rule decided.
 
 Edges are summed per pair of hosts before they are shuffled, and every iteration moves only one
-row per edge; the iterations are a fixed number, with a cut between.
+row per edge.  Both propagations run together until no host's score changes by more than TOLERANCE of
+itself, so hosts at any distance are reached and scored, far ones as exactly as near ones; a cut and a check follow
+every ROUNDS iterations.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed; a null html has no links; repeated rows each get a verdict; an empty table gives an empty
@@ -27,7 +29,11 @@ from docsheaf.llm.shared import cut
 
 #: (action, host and path); fixed by the query's contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ITERATIONS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Relative change at which propagation ends; iterations between two checks; scores that count as none, so that it ends.
+TOLERANCE, ROUNDS, FLOOR = 1e-8, 4, 1e-300
+#: A guard that is not met: after some 4,400 iterations damping leaves no change over FLOOR.
+ITERATIONS = 10_000
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -72,16 +78,30 @@ def host_edges(pages: DataFrame, siblings: bool = True) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: (host, score) from seeds (host, weight) along edges (src, dst, weight)."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    total = seeds.agg(F.sum("weight")).first()[0] or 0.0
-    start = cut(seeds.groupBy("host").agg((F.sum("weight") / F.lit(total if total else 1.0)).alias("seed")))
-    score = start.select("host", F.col("seed").alias("score"))
-    for _ in range(iterations):
-        moved = score.join(steps, score["host"] == steps["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        score = cut(moved.unionByName(start.select("host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score")))
+def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, tolerance: float = TOLERANCE, by: tuple[str, ...] = ()) -> DataFrame:
+    """Personalised PageRank: (host, score) from seeds (host, weight) along edges (src, dst, weight), until it converges.
+
+    Columns ``by`` of both tables set apart graphs that share no score; they lead the result.
+    """
+    out = edges.groupBy(*by, "src").agg(F.sum("weight").alias("out"))
+    steps = cut(edges.join(out, [*by, "src"]).select(*by, F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")))
+    start = seeds.groupBy(*by, "host").agg(F.sum("weight").alias("weight"))
+    total = start.groupBy(*by).agg(F.sum("weight").alias("total"))
+    start = cut((start.join(total, list(by)) if by else start.crossJoin(total)).select(*by, "host", F.when(F.col("total") != 0, F.col("weight") / F.col("total")).otherwise(F.col("weight")).alias("seed")))
+    base = start.select(*by, "host", (F.col("seed") * (1 - damping)).alias("score"))
+    score, done = start.select(*by, "host", F.col("seed").alias("score")), 0
+    while done < iterations:
+        new = score
+        for _ in range(min(ROUNDS, iterations - done)):
+            moved = new.join(steps, [*by, "host"]).select(*by, F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            new = moved.unionByName(base).groupBy(*by, "host").agg(F.sum("score").alias("score"))
+            done += 1
+        was = score.select(*by, "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        both = cut(new.withColumn("was", F.lit(0.0)).unionByName(was).groupBy(*by, "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
+        score = both.drop("was")
+        change = both.agg(F.max(F.abs(F.col("score") - F.col("was")) / F.greatest("score", "was", F.lit(FLOOR)))).first()[0]
+        if change is None or change <= tolerance:
+            break
     return score
 
 
@@ -89,8 +109,9 @@ def host_verdicts(pages: DataFrame, siblings: bool = True, threshold: float = TH
     """(host, trust, distrust, host_verdict) of every host that either propagation reached, from judged pages."""
     edges = cut(host_edges(pages, siblings))
     seeds = cut(pages.filter("action is not null and host <> ''").groupBy("host", "action").agg(F.count("*").cast("double").alias("weight")))
-    trust = propagate(edges, seeds.filter("action = 'allow'"))
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), seeds.filter("action = 'block'"))
+    back = edges.select(F.lit("block").alias("action"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    score = propagate(edges.withColumn("action", F.lit("allow")).unionByName(back), seeds, by=("action",))
+    trust, distrust = (score.filter(F.col("action") == a).drop("action") for a in ("allow", "block"))
     both = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").fillna(0.0, ["trust", "distrust"])
     blocked = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
     return both.withColumn("host_verdict", F.when(blocked, "block").otherwise("allow"))

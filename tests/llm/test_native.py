@@ -183,3 +183,24 @@ def test_pagerank_against_plain_python(spark):
     df = spark.createDataFrame([(str(a), str(b), float(w)) for (a, b), w in edges.items()], "src string, dst string, weight double")
     got = {int(r["host"]): r["score"] for r in urls.propagate(df, spark.createDataFrame([(str(k), v) for k, v in seeds.items()], "host string, weight double")).collect()}
     assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v for k, v in score.items() if v > 1e-12})
+
+
+def test_urls_reach_the_end_of_long_chains(spark):
+    """What leads to blocked hosts is blocked at any distance; scores are those of the linear system, solved outright."""
+    n = 15
+    link = '<a href="http://{}/1">x</a>'
+    pages = [(k, f"http://h{k}.org/1", link.format(f"h{k + 1}.org" if k + 1 < n else "x.net")) for k in range(n)]
+    pages += [(100, "http://x.net/es/", link.format("x.net")), (101, "http://y.com/", link.format("c0.org")), (102, "http://c0.org/", link.format("c1.org")), (103, "http://c1.org/", link.format("c2.org")), (104, "http://c2.org/", link.format("c0.org") + link.format("x.net"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urls.filter_urls(df, siblings=False).collect()}
+    assert [got[f"h{k}.org"]["verdict"] for k in range(n)] == ["block"] * n
+    forward = {host: re.findall(r"//([^/]+)/", html) for _, url, html in pages for host in [url.split("/")[2]]}
+    links = {(a, b) for a, bs in forward.items() for b in bs if a != b}
+    names = sorted({x for e in links for x in e})
+    for column, seed, edges in (("trust", "y.com", links), ("distrust", "x.net", {(b, a) for a, b in links})):
+        m = np.zeros((len(names), len(names)))
+        for a, b in edges:
+            m[names.index(b), names.index(a)] = 1 / sum(a == c for c, _ in edges)
+        scores = np.linalg.solve(np.eye(len(names)) - urls.DAMPING * m, (1 - urls.DAMPING) * np.array([x == seed for x in names]))
+        for name, score in zip(names, scores, strict=True):
+            assert (got[name][column] or 0.0) == pytest.approx(score, rel=1e-6, abs=1e-15)
