@@ -7,7 +7,8 @@ a text again.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails ``few_words``;
 repeated rows each get their own ledger row; an empty table gives an empty ledger; columns of the
-input are kept, and working columns avoid their names.
+input are kept, working columns avoid their names, and an input column that is named like one of the
+ledger's gets underscores in front (the pipeline stage gives it its name back).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from docsheaf.llm.shared import SPACES, free_name, read_documents, whole_text
 #: Words in one window of the repetition measure.
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+LEDGER = (*MEASURES, "fail_bits", "kept")
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,15 @@ POLICIES = {
 CURRENT = "2026-1"
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that are named like the ledger's renamed, and the new name of every column."""
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        new = free_name(docs, f"_{c}") if c.lower() in LEDGER else c
+        docs, names[c] = docs.withColumnRenamed(c, new), new
+    return docs, names
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES added.
 
@@ -62,9 +73,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     identified by a 64-bit hash of its words' 64-bit hashes.  Only documents in which some window
     occurs twice sort their windows, so the usual cost is linear in the words.
     """
+    docs, names = set_aside(docs)
     t, words, hashes, windows, ordered, starts = (free_name(docs, f"__{x}") for x in ("t", "words", "hashes", "windows", "ordered", "starts"))
-    clash = {m.lower() for m in MEASURES}
-    df = docs.select(*[c for c in docs.columns if c.lower() not in clash], whole_text(docs[text]).alias(t))
+    df = docs.select("*", whole_text(docs[names[text]]).alias(t))
     trimmed = F.btrim(F.col(t), F.lit(SPACES))
     df = df.withColumn(words, F.when(F.length(trimmed) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     df = df.withColumn("n_words", F.size(words).cast("long")).withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
@@ -101,7 +112,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     bits: Column = F.lit(0).cast("long")
     for rule in rules:
         bits = bits + F.when(F.expr(rule.fails), F.lit(rule.mask).cast("long")).otherwise(F.lit(0).cast("long"))
-    return df.drop("fail_bits").withColumn("fail_bits", bits)
+    return df.withColumn("fail_bits", bits)
 
 
 def passes(mask: int, bits: str | Column = "fail_bits") -> Column:
@@ -148,7 +159,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the current policy keeps, with their own columns."""
-    return kept_rows(ledger(docs)).select(*docs.columns)
+    aside, names = set_aside(docs)
+    return kept_rows(ledger(aside)).select(*[F.col(new).alias(c) for c, new in names.items()])
 
 
 SQL = r"""

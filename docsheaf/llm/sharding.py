@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsheaf.llm.shared import cut, read_documents, whole_text
+from docsheaf.llm.shared import cut, free_name, read_documents, whole_text
 
 SHARDS = 16
 SEED = 20261
@@ -58,19 +58,16 @@ def permute(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
 def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """``df`` (cut) with gapless global row numbers from 0 in the given order.
 
-    A range shuffle sorts; each partition counts its rows, and only those counts, one per partition,
-    reach the driver.  The sorted rows are cut first, since range bounds may differ between runs.
+    A range shuffle sorts, each partition counts its rows, and running sums of those counts, one row per
+    partition, are joined back.  The sorted rows are cut first, since range bounds may differ between runs.
     """
+    at, part, before = (free_name(df, c) for c in ("at", "part", "before"))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    offset = F.get(F.array(*[F.lit(b) for b in before]) if before else F.array(F.lit(0)), part.cast("int"))
-    return rows.withColumn(name, offset.cast("long") + within).drop("__at")
+    rows = cut(ranged.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    running = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(running), F.lit(0)).alias(before))
+    number = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(cut(counts), part).withColumn(name, number).drop(at, part, before)
 
 
 def shuffled_place(number: Column, n: int, seed: int = SEED) -> Column:
@@ -85,9 +82,10 @@ def shuffled_place(number: Column, n: int, seed: int = SEED) -> Column:
 
 def shard(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``df`` with shard (int) and slot (long) under the ``rows`` law."""
-    rows = numbered(df, order)
-    n = rows.count()
-    return rows.withColumn("__place", shuffled_place(F.col("row_number"), n, seed)).select(*df.columns, (F.col("__place") % shards).cast("int").alias("shard"), F.floor(F.col("__place") / shards).cast("long").alias("slot"), "row_number")
+    number, place = free_name(df, "number"), free_name(df, "place")
+    rows = numbered(df, order, number)
+    placed = rows.withColumn(place, shuffled_place(F.col(number), rows.count(), seed))
+    return placed.select(*df.columns, (F.col(place) % shards).cast("int").alias("shard"), F.floor(F.col(place) / shards).cast("long").alias("slot"), F.col(number).alias("row_number"))
 
 
 def write_shards(df: DataFrame, sharded: DataFrame, id_col: str, path: str) -> None:

@@ -66,7 +66,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("action", action)
 
 
-def host_edges(pages: DataFrame, siblings: bool = True) -> DataFrame:
+def host_edges(pages: DataFrame, siblings: bool = False) -> DataFrame:
     """(src, dst, weight) between different hosts, from judged pages."""
     targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)), lower_ascii))
     links = pages.select(F.col("host").alias("src"), F.explode(targets).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
@@ -105,7 +105,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     return score
 
 
-def host_verdicts(pages: DataFrame, siblings: bool = True, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, siblings: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust, host_verdict) of every host that either propagation reached, from judged pages."""
     edges = cut(host_edges(pages, siblings))
     seeds = cut(pages.filter("action is not null and host <> ''").groupBy("host", "action").agg(F.count("*").cast("double").alias("weight")))
@@ -117,7 +117,7 @@ def host_verdicts(pages: DataFrame, siblings: bool = True, threshold: float = TH
     return both.withColumn("host_verdict", F.when(blocked, "block").otherwise("allow"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, siblings: bool = True, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, siblings: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of the host for every page."""
     rows = judged(pages, rules)
     hosts = cut(host_verdicts(rows, siblings, threshold))
@@ -126,5 +126,5 @@ def filter_urls(pages: DataFrame, rules=RULES, siblings: bool = True, threshold:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: judges every page."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    """op6: judges every page.  Its pages link to no other host, so parent domains give the graph its edges."""
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), siblings=True)

@@ -33,8 +33,16 @@ def test_measures_against_plain_python(spark, sf_dir):
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     rows = [(k, t, "clash", 5) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __words string, n_lines int")
-    got = {r["doc_id"]: tuple(r[m] for m in quality.MEASURES) for r in quality.measure(docs).collect()}
-    assert got == {k: measured(t) for k, t, _, _ in rows}
+    found = quality.measure(docs).collect()
+    assert {r["doc_id"]: tuple(r[m] for m in quality.MEASURES) for r in found} == {k: measured(t) for k, t, _, _ in rows}
+    assert all((r["__words"], r["_n_lines"]) == ("clash", 5) for r in found)
+
+
+def test_quality_stage_leaves_columns_alone(spark):
+    rows = [(1, " ".join(f"w{j}" for j in range(45)), "mine", 7, None, "x"), (2, "few", "mine", 7, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, fail_bits int, kept boolean, _kept string")
+    out = quality.stage(spark, docs, "")
+    assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == rows[:1]
 
 
 def test_policies_and_ablation(spark, sf_dir):
@@ -74,6 +82,29 @@ def test_shards(spark, sf_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def plain_place(number, n, seed):
+    """The permutation in plain Python integers."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys = [(seed * 0x9E3779B97F4A7C15 + (i + 1) * 0xD1B54A32D192ED03) % 2**64 for i in range(sharding.ROUNDS)]
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for key in keys:
+            x = (right + key) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            left, right = right, left ^ (x ^ x >> 31) & (1 << half) - 1
+        number = left << half | right
+        if number < n:
+            return number
+
+
+def test_shards_against_plain_feistel(spark, sf_dir):
+    rows = sorted(sharding.query(spark, sf_dir).collect(), key=lambda r: r["doc_id"])
+    for number, r in enumerate(rows):
+        place = plain_place(number, len(rows), sharding.SEED)
+        assert (r["shard"], r["slot"]) == (place % 16, place // 16)
+
+
 def test_shards_with_nulls_ties_and_nothing(spark):
     rows = [(None, 1, 0)] * 3 + [(5, 1, 0)] * 4 + [(5, 9, 0)]
     df = spark.createDataFrame(rows, "doc_id long, size long, shard int").drop("shard").repartition(3)
@@ -98,13 +129,14 @@ def test_digests(spark):
 def prefixes(rows):
     convs = collections.defaultdict(list)
     for conv, turn, role, text in rows:
-        convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
-    seqs = {c: tuple((r, t) for _, _, r, t in sorted(v)) for c, v in convs.items()}
+        text = text or ""
+        convs[conv].append((turn is not None, turn or 0, role or "", hashlib.md5(text.encode()).hexdigest(), text))
+    seqs = {c: tuple((r, t) for _, _, r, _, t in sorted(v)) for c, v in convs.items()}
     proper = {s[:k] for s in seqs.values() for k in range(1, len(s))}
     best = {}
-    for c in sorted(seqs):
+    for c in sorted(seqs, key=lambda c: (c is None, c or 0)):
         best.setdefault(seqs[c], c)
-    return {c: len(s) for s, c in best.items() if s not in proper}
+    return {c: s for s, c in best.items() if s not in proper}
 
 
 def test_chat_collapse(spark, monkeypatch):
@@ -116,16 +148,21 @@ def test_chat_collapse(spark, monkeypatch):
         turns = base[: rng.randint(1, 12)] if conv % 3 else [(rng.choice("ab"), rng.choice("xy")) for _ in range(rng.randint(1, 5))]
         rows += [(conv, k * 2, r, t) for k, (r, t) in enumerate(turns)]
     rows += [(100, None, "a", "x"), (101, 4, "u", "same"), (101, 4, "u", "same")]
+    for k in range(20):  # a snapshot, and the longer one, in which a turn number stands twice
+        rows += [(200 + k, 1, "user", f"q{k}"), (200 + k, 1, "assistant", f"tie{k}"), (300 + k, 1, "assistant", f"tie{k}"), (300 + k, 1, "user", f"q{k}"), (300 + k, 2, "user", "more")]
+    rows += [(None, k, "u", f"no id {k}") for k in range(7)] + [(400, k, "u", f"no id {k}") for k in range(3)]
+    rng.shuffle(rows)
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, length int")
-    got = {r["conv_id"]: r["n_turns"] for r in chat.maximal(df).collect()}
-    assert got == prefixes(rows)
+    parts = chat.collapse(df).collect()
+    expected = prefixes(rows)
+    assert {r["conv_id"]: r["n_turns"] for r in parts} == {c: len(s) for c, s in expected.items()}
+    assert not {200 + k for k in range(20)} & set(expected) and 400 not in expected and None in expected
     text = collections.defaultdict(str)
-    for r in sorted(chat.render(df, chat.maximal(df)).collect(), key=lambda r: (r["conv_id"], r["part"])):
+    for r in sorted(parts, key=lambda r: r["part"]):
+        assert r["rendered"].count(chat.TURN_END) <= 3
         text[r["conv_id"]] += r["rendered"]
-    assert set(text) == set(got)
-    assert all(text[c].count(chat.TURN_END) == n for c, n in got.items())
-    assert text[101] == "<|u|>\nsame\n<|end|>\n" * 2
-    assert chat.maximal(df.limit(0)).count() == 0
+    assert text == {c: "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in s) for c, s in expected.items()}
+    assert chat.collapse(df.limit(0)).count() == 0
 
 
 def judge(url):
