@@ -6,6 +6,7 @@ only, which are few, and is joined back.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -22,66 +23,49 @@ def _plain(spec: str | None) -> str:
     return re.sub(r"(?i)(?:mm(?:²|2)|平方毫米)$", "", text)
 
 
-class _Reader:
-    """Recursive descent over ``sum := term ('+' term)*``, ``term := (count '*')* (section | '(' sum ')')``."""
-
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
-
-    def peek(self) -> str:
-        return self.text[self.at : self.at + 1]
-
-    def sum(self, depth: int = 0) -> list[tuple[int, float]]:
-        if depth > 50:
-            raise ValueError("too deep")
-        out = self.term(depth)
-        while self.peek() == "+":
-            self.at += 1
-            out = out + self.term(depth)
-        return out
-
-    def term(self, depth: int) -> list[tuple[int, float]]:
-        factors: list[str] = []
-        while True:
-            if self.peek() == "(":
-                self.at += 1
-                inner = self.sum(depth + 1)
-                if self.peek() != ")":
-                    raise ValueError("bracket")
-                self.at += 1
-                if len(factors) > 1 or any("." in f for f in factors):
-                    raise ValueError("count")
-                times = int(factors[0]) if factors else 1
-                if times <= 0:
-                    raise ValueError("count")
-                return [(times * c, s) for c, s in inner]
-            number = _NUMBER.match(self.text, self.at)
-            if not number:
-                raise ValueError("number")
-            self.at = number.end()
-            factors.append(number.group())
-            if self.peek() != "*":
-                break
-            self.at += 1
-        if len(factors) < 2 or any("." in f for f in factors[:-1]):
-            raise ValueError("incomplete")
-        count = 1
-        for f in factors[:-1]:
-            count *= int(f)
-        section = float(factors[-1])
-        if count <= 0 or section <= 0:
-            raise ValueError("not positive")
-        return [(count, section)]
-
-
 def spec_groups(spec: str | None) -> list[tuple[int, float]]:
-    """The groups of a specification; none if any part of it does not parse."""
-    reader = _Reader(_plain(spec))
-    try:
-        out = reader.sum()
-    except (ValueError, OverflowError):
-        return []
-    return out if reader.at == len(reader.text) else []
+    """The groups of a specification; none if any part of it does not parse.
+
+    ``sum := term ('+' term)*``, ``term := (count '*')* section | [count '*'] '(' sum ')'``, read with a stack of open
+    brackets: each holds the groups before it and the count that stands in front of it.
+    """
+    text, at = _plain(spec), 0
+    outer: list[tuple[list[tuple[int, float]], int]] = []
+    groups: list[tuple[int, float]] = []
+    factors: list[str] = []
+    closed = False
+    while True:
+        mark = text[at : at + 1]
+        number = _NUMBER.match(text, at)
+        if number and not closed and (not factors or factors[-1] == "*"):
+            factors.append(number.group())
+            at = number.end()
+            continue
+        if mark == "*" and factors and factors[-1] != "*":
+            factors.append("*")
+        elif mark == "(" and not closed and (not factors or len(factors) == 2 and factors[0].isdigit() and int(factors[0])):
+            outer.append((groups, int(factors[0]) if factors else 1))
+            groups, factors = [], []
+        elif mark in ("+", ")", ""):
+            if not closed:
+                numbers = factors[::2]
+                if len(numbers) < 2 or factors[-1] == "*" or not all(f.isdigit() for f in numbers[:-1]):
+                    return []
+                count, section = math.prod(map(int, numbers[:-1])), float(numbers[-1])
+                if count <= 0 or section <= 0:
+                    return []
+                groups = [*groups, (count, section)]
+            factors, closed = [], mark == ")"
+            if mark == "":
+                return [] if outer else groups
+            if mark == ")":
+                if not outer:
+                    return []
+                before, times = outer.pop()
+                groups = [*before, *[(times * c, s) for c, s in groups]]
+        else:
+            return []
+        at += 1
 
 
 @F.pandas_udf(GROUPS_TYPE)

@@ -15,21 +15,36 @@ def plain(c: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    def one(x: str, y: str, floor: float) -> float:
+        m = SequenceMatcher(None, x, y)
+        return m.ratio() if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor else 0.0
 
+    return pd.Series([one(x, y, f) for x, y, f in zip(a, b, least, strict=True)], dtype=float)
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 if one contains the other, 0 if one is empty, else the matching ratio; only what is left reaches Python."""
+
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 if one contains the other, 0 if one is empty, else the matching ratio of the whole texts.
+
+    Ratios below ``least`` may come out as 0: lengths, then character counts, bound a ratio from above, and only what
+    they leave is matched.
+    """
     x, y = plain(a), plain(b)
-    easy = F.when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0)
-    return F.coalesce(easy, _ratio(F.when(easy.isNull(), x).otherwise(F.lit("")), F.when(easy.isNull(), y).otherwise(F.lit(""))))
+    bound = 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
+    easy = F.when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0).when(bound < least, 0.0)
+    blank = F.lit("")
+    return F.coalesce(easy, _ratio(F.when(easy.isNull(), x).otherwise(blank), F.when(easy.isNull(), y).otherwise(blank), F.lit(float(least))))
 
 
 def best_matches(old: DataFrame, new: DataFrame, chain: str, least: float, item_weight: float = 0.8) -> DataFrame:
-    """Old issues (chain, id, item, sample) with their best new one and its score; none below ``least``."""
+    """Old issues (chain, id, item, sample) with their best new one and its score; none below ``least``.
+
+    A chain holds the issues of one report's versions, so the pairs within it are few; a pair whose bounds keep it
+    below ``least`` is not matched.
+    """
     n = new.select(chain, F.col("id").alias("new_id"), F.col("item").alias("__item"), F.col("sample").alias("__sample"))
-    score = item_weight * similarity(F.col("item"), F.col("__item")) + (1 - item_weight) * similarity(F.col("sample"), F.col("__sample"))
+    floor = max(0.0, (least - (1 - item_weight)) / item_weight)
+    score = item_weight * similarity(F.col("item"), F.col("__item"), floor) + (1 - item_weight) * similarity(F.col("sample"), F.col("__sample"))
     scored = old.join(n, chain, "left").withColumn("score", F.when(F.col("new_id").isNotNull(), score))
     best = scored.groupBy(chain, "id").agg(F.max_by(F.struct("new_id", "score"), F.struct("score", -F.col("new_id"))).alias("b"))
     hit = F.col("b.score") >= least

@@ -26,21 +26,37 @@ def with_fallback(rows: DataFrame, id_col: str, master: DataFrame, exact: list[s
     return df.withColumns({"bound_by": how, take: value}).drop("__alias", "candidates")
 
 
+#: Names up to which texts look for their words before they are exploded; beyond, the join alone finds them.
+MANY_NAMES = 10_000
+_NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
 def contained_names(texts: DataFrame, id_col: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """(id, name columns) of names that occur in a text as whole tokens.
 
-    Texts become their distinct tokens, without the text beside them, and meet the names in an equi-join
-    on the first token; only names of several tokens look at the text again.  So it scales with
-    tokens, not with texts times names.
+    A text becomes its distinct phrases, as long as the longest name, which meet the names in an equi-join; it is read
+    once and never joined back.  If the names are few, only phrases that are names leave the row.
     """
-    split = r"[^\p{L}\p{N}]+"
-    words = texts.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text), split))).alias("__first")).filter("__first <> ''")
-    keyed = names.withColumn("__words", F.filter(F.split(F.lower(name), split), lambda w: w != "")).withColumn("__first", F.get("__words", F.lit(0)))
-    hits = words.join(keyed, "__first").drop("__first")
-    one = hits.filter(F.size("__words") == 1).drop("__words")
-    spaced = texts.select(id_col, F.concat(F.lit(" "), F.array_join(F.split(F.lower(text), split), " "), F.lit(" ")).alias("__spaced"))
-    several = hits.filter(F.size("__words") > 1).join(spaced, id_col).filter(F.contains("__spaced", F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))))
-    return one.unionByName(several.drop("__words", "__spaced"))
+    words = lambda c: F.filter(F.split(F.lower(c), _NOT_WORD), lambda w: w != "")
+    keyed = names.withColumn("__phrase", F.array_join(words(F.col(name)), " ")).filter("__phrase <> ''")
+    known = [r[0] for r in keyed.select("__phrase").distinct().limit(MANY_NAMES + 1).collect()]
+    few = len(known) <= MANY_NAMES
+    most = max([k.count(" ") + 1 for k in known], default=1) if few else keyed.agg(F.max(F.size(F.split("__phrase", " ")))).first()[0]
+    tokens = texts.select(id_col, words(F.coalesce(F.col(text), F.lit(""))).alias("__w"))
+
+    def of_length(n: int) -> Column:
+        if n == 1:
+            return F.col("__w")
+        places = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        firsts = sorted({k.split(" ")[0] for k in known if k.count(" ") == n - 1})
+        places = F.filter(places, lambda i: F.get("__w", i - 1).isin(firsts)) if few else places
+        return F.transform(places, lambda i: F.array_join(F.slice("__w", i, F.lit(n)), " "))
+
+    phrases = [of_length(n) for n in range(1, most + 1) if not few or any(k.count(" ") == n - 1 for k in known)] or [F.array().cast("array<string>")]
+    found = F.array_distinct(F.concat(*phrases))
+    if few:
+        found = F.array_intersect(found, F.array(*map(F.lit, known)).cast("array<string>"))
+    return tokens.select(id_col, F.explode(found).alias("__phrase")).join(keyed, "__phrase").drop("__phrase")
 
 
 def longest(hits: DataFrame, keys: list[str], name: str, *tie: Column) -> DataFrame:

@@ -18,13 +18,19 @@ class Pattern:
     kind: str
     regex: str
     placeholder: str
+    #: A string that each match holds; texts without it are not searched.
+    holds: str = ""
+
+    def within(self, text: Column, found: Column, otherwise: Column) -> Column:
+        return F.when(F.contains(text, F.lit(self.holds)), found).otherwise(otherwise) if self.holds else found
 
 
 #: Forms of application numbers and company names, with their placeholders.
 APPLICATION = Pattern("application_no", r"(?i)(?<![A-Z0-9])A\s*\d{4}\s*CCC(?:\s*[-_/]?\s*[A-Z0-9]){5,}(?![A-Z0-9])", "[申请编号已脱敏]")
 COMPANY = Pattern("company", r"(?<!\[)([一-鿿A-Za-z0-9（）()·]{2,60}(?:股份有限公司|有限责任公司|有限公司|集团公司|研究院|研究所|检测中心|认证中心|公司))", "[企业名称已脱敏]")
-EMAIL = Pattern("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]")
-SECRET = Pattern("secret", r"token = \"[0-9a-f]{40}\"", "[secret]")
+# A local part is only tried where its run of characters begins, or where the last match ended: long runs cost no more.
+EMAIL = Pattern("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]", "@")
+SECRET = Pattern("secret", r"token = \"[0-9a-f]{40}\"", "[secret]", 'token = "')
 DEFAULT = (EMAIL, SECRET)
 REPORT = (APPLICATION, COMPANY)
 
@@ -41,17 +47,17 @@ def redacted(text: Column, patterns: Sequence[Pattern] = DEFAULT, known: Column
         longest = F.array_sort(known, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
         text = F.aggregate(longest, text, lambda acc, v: F.replace(acc, v, F.lit(placeholder)))
     for p in patterns:
-        text = F.regexp_replace(text, p.regex, p.placeholder.replace("$", r"\$"))
+        text = p.within(text, F.regexp_replace(text, p.regex, p.placeholder.replace("$", r"\$")), text)
     return text
 
 
 def counts(text: Column, patterns: Sequence[Pattern] = DEFAULT) -> dict[str, Column]:
-    return {f"n_{p.kind}": F.regexp_count(text, F.lit(p.regex)) for p in patterns}
+    return {f"n_{p.kind}": p.within(text, F.regexp_count(text, F.lit(p.regex)), F.lit(0)) for p in patterns}
 
 
 def residual(text: Column, patterns: Sequence[Pattern] = DEFAULT) -> Column:
     """Types that a text still shows."""
-    return F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(p.regex)), F.lit(p.kind)) for p in patterns]))
+    return F.array_compact(F.array(*[F.when(p.within(text, F.regexp_like(text, F.lit(p.regex)), F.lit(False)), F.lit(p.kind)) for p in patterns]))
 
 
 def released(docs: DataFrame, text: str = "text", patterns: Sequence[Pattern] = DEFAULT) -> DataFrame:

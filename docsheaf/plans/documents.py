@@ -197,7 +197,7 @@ SELECT doc_id, line_no::BIGINT AS line_no, 'license_version' AS item, len(vals):
 
 
 def similarity_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), "role", F.substring("text", 1, 80).alias("item"), F.lit("").alias("sample"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), "role", F.col("text").alias("item"), F.lit("").alias("sample"))
     old, new = turns.filter("role = 'user'").drop("role"), turns.filter("role = 'assistant'").drop("role")
     return compare.best_matches(old, new, "conv_id", 0.2)
 

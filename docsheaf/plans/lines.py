@@ -43,13 +43,13 @@ SQL["latest_rule_version"] = "SELECT p_brand, p_partkey, p_size FROM part QUALIF
 
 def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two sources say of a part: its line items' status, and its own size class."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("part"), F.lit("status").alias("field"), F.col("l_linestatus").alias("value"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.lit("status").alias("field"), F.when(F.col("p_size") > 25, "F").when(F.col("p_size") > 2, "O").alias("value"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.concat(F.lit("status of line "), F.col("l_linenumber").cast("string")).alias("field"), F.col("l_linestatus").alias("value"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.lit("status of line 1").alias("field"), F.when(F.col("p_size") > 25, "F").when(F.col("p_size") > 2, "O").alias("value"))
     return conditions.reconcile_facts(lines.unionByName(parts), "part")
 
 
 SQL["fact_conflicts"] = """SELECT part, field, CASE WHEN count(DISTINCT value) = 1 AND count(*) FILTER (value IS NULL) = 0 THEN min(value) END AS value, NOT (count(DISTINCT value) = 1 AND count(*) FILTER (value IS NULL) = 0) AS conflict
-FROM (SELECT l_partkey AS part, 'status' AS field, l_linestatus AS value FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 UNION ALL SELECT p_partkey, 'status', CASE WHEN p_size > 25 THEN 'F' WHEN p_size > 2 THEN 'O' END FROM part) GROUP BY 1, 2"""
+FROM (SELECT l_partkey AS part, concat('status of line ', l_linenumber) AS field, l_linestatus AS value FROM lineitem UNION ALL SELECT p_partkey, 'status of line 1', CASE WHEN p_size > 25 THEN 'F' WHEN p_size > 2 THEN 'O' END FROM part) GROUP BY 1, 2"""
 
 _SQL_VERDICT = "CASE l_returnflag WHEN 'N' THEN 'pass' WHEN 'R' THEN 'fail' ELSE 'manual_review' END"
 
@@ -117,25 +117,29 @@ SELECT p_partkey, p_brand, size_min, size_max FROM part JOIN r ON p_brand = rule
 
 
 def unique_or_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every other number look one size up, so some find no part, some one, some several."""
     parts = table(spark, sf_dir, "part")
     master = parts.select(F.col("p_partkey").alias("match"), "p_brand", "p_size", "p_type")
-    return matching.unique_or_unresolved(parts.select("p_partkey", "p_brand", "p_size", "p_type"), master.filter("match % 2 = 0"), ["p_brand", "p_size", "p_type"], ["match"]).select("p_partkey", "candidates", "match")
+    rows = parts.select("p_partkey", "p_brand", (F.col("p_size") + F.col("p_partkey") % 2).cast("int").alias("p_size"), "p_type")
+    return matching.unique_or_unresolved(rows, master, ["p_brand", "p_size", "p_type"], ["match"]).select("p_partkey", "candidates", "match")
 
 
-SQL["unique_or_unresolved"] = """WITH m AS (SELECT p_brand, p_size, p_type, count(*) AS c, min(p_partkey) AS k FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3)
-SELECT p_partkey, coalesce(c, 0) AS candidates, CASE WHEN c = 1 THEN k END AS match FROM part LEFT JOIN m USING (p_brand, p_size, p_type)"""
+SQL["unique_or_unresolved"] = """WITH m AS (SELECT p_brand, p_size, p_type, count(*) AS c, min(p_partkey) AS k FROM part GROUP BY 1, 2, 3)
+SELECT r.p_partkey, coalesce(c, 0) AS candidates, CASE WHEN c = 1 THEN k END AS match FROM part AS r LEFT JOIN m ON m.p_brand = r.p_brand AND m.p_type = r.p_type AND m.p_size = r.p_size + r.p_partkey % 2"""
 
 
 def alias_fallback_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every third number have lost their type, and are found by the rest of the key."""
     parts = table(spark, sf_dir, "part")
-    master = parts.filter("p_partkey % 3 = 0").select("p_brand", "p_size", "p_type", F.col("p_partkey").alias("match"))
-    rows = parts.select("p_partkey", "p_brand", "p_size", "p_type")
+    master = parts.select("p_brand", "p_size", "p_type", F.col("p_partkey").alias("match"))
+    rows = parts.select("p_partkey", "p_brand", "p_size", F.when(F.col("p_partkey") % 3 == 0, "?").otherwise(F.col("p_type")).alias("p_type"))
     return matching.with_fallback(rows, "p_partkey", master, ["p_brand", "p_size", "p_type"], ["p_brand", "p_size"], "match").select("p_partkey", "match", "bound_by")
 
 
-SQL["alias_fallback_binding"] = """WITH m AS (SELECT * FROM part WHERE p_partkey % 3 = 0), e AS (SELECT p_brand, p_size, p_type, count(*) AS c, min(p_partkey) AS k FROM m GROUP BY 1, 2, 3), a AS (SELECT p_brand, p_size, count(*) AS c, min(p_partkey) AS k FROM m GROUP BY 1, 2)
+SQL["alias_fallback_binding"] = """WITH e AS (SELECT p_brand, p_size, p_type, count(*) AS c, min(p_partkey) AS k FROM part GROUP BY 1, 2, 3), a AS (SELECT p_brand, p_size, count(*) AS c, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+r AS (SELECT p_partkey, p_brand, p_size, CASE WHEN p_partkey % 3 = 0 THEN '?' ELSE p_type END AS p_type FROM part)
 SELECT p_partkey, CASE WHEN e.c = 1 THEN e.k WHEN e.c IS NULL AND a.c = 1 THEN a.k END AS match, CASE WHEN e.c = 1 THEN 'exact' WHEN e.c IS NULL AND a.c = 1 THEN 'alias' END AS bound_by
-FROM part LEFT JOIN e USING (p_brand, p_size, p_type) LEFT JOIN a USING (p_brand, p_size)"""
+FROM r LEFT JOIN e USING (p_brand, p_size, p_type) LEFT JOIN a USING (p_brand, p_size)"""
 
 
 def verdict_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +300,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cands = _candidates(spark, sf_dir).select("p_brand", F.col("section").alias("c_section"), F.col("cores").alias("c_cores"), F.col("shape").alias("c_shape"))
     cands = cands.withColumn("candidate", F.xxhash64("p_brand", "c_section", "c_cores", "c_shape")).withColumn("cost", F.col("c_section") * F.col("c_cores"))
     tasks = sampling.coverage_tasks(_candidates(spark, sf_dir), ["p_brand"]).withColumn("task", F.concat_ws(":", "kind", "shape"))
-    sequence = sampling.ranked_sequence(table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("section")).unionByName(cands.select("p_brand", F.col("c_section").alias("section"))), ["p_brand"], "section")
+    sequence = sampling.ranked_sequence(table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("section")), ["p_brand"], "section")
     return sampling.matches(tasks, cands, ["p_brand"], sequence), tasks
 
 
@@ -307,10 +311,10 @@ def task_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.unionByName(none)
 
 
-SQL["task_feasibility"] = f"""WITH {_CAND}, {_TASKS}, q AS (SELECT p_brand, section, row_number() OVER (PARTITION BY p_brand ORDER BY section) AS r FROM (SELECT DISTINCT p_brand, p_size::DOUBLE AS section FROM part UNION SELECT DISTINCT p_brand, section FROM c))
-SELECT t.p_brand, concat_ws(':', t.kind, t.shape) AS task, count(c.p_brand) FILTER ((t.section IS NULL OR CASE WHEN c.section > 10 OR t.section > 10 THEN c.section = t.section ELSE c.section = t.section OR abs(qc.r - qt.r) = 1 END)
+SQL["task_feasibility"] = f"""WITH {_CAND}, {_TASKS}, q AS (SELECT p_brand, section, row_number() OVER (PARTITION BY p_brand ORDER BY section) AS r FROM (SELECT DISTINCT p_brand, p_size::DOUBLE AS section FROM part))
+SELECT t.p_brand, concat_ws(':', t.kind, t.shape) AS task, count(c.p_brand) FILTER ((t.section IS NULL OR CASE WHEN c.section > 10 OR t.section > 10 THEN c.section = t.section ELSE c.section = t.section OR coalesce(abs(qc.r - qt.r) = 1, false) END)
  AND (t.cores IS NULL OR c.cores = t.cores) AND (t.shape IS NULL OR c.shape = t.shape)) AS candidates
-FROM t JOIN c ON c.p_brand = t.p_brand JOIN q AS qc ON qc.p_brand = c.p_brand AND qc.section = c.section LEFT JOIN q AS qt ON qt.p_brand = t.p_brand AND qt.section = t.section GROUP BY 1, 2"""
+FROM t JOIN c ON c.p_brand = t.p_brand LEFT JOIN q AS qc ON qc.p_brand = c.p_brand AND qc.section = c.section LEFT JOIN q AS qt ON qt.p_brand = t.p_brand AND qt.section = t.section GROUP BY 1, 2"""
 
 
 def set_cover_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,10 +324,11 @@ def set_cover_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def material_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per nation, suppliers with a low balance as demands, customers of three market segments as samples."""
-    demand = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("plan"), F.col("s_name").alias("demand"), (F.col("s_suppkey") % 3).alias("k"))
-    slots = table(spark, sf_dir, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') and c_acctbal < 0").select(F.col("c_nationkey").alias("plan"), F.col("c_name").alias("slot"), (F.col("c_custkey") % 3).alias("k"))
-    return sampling.allocate(demand.join(slots, ["plan", "k"], "left").select("plan", "demand", "slot"), "plan")
+    """Per brand and size, parts as demands; each may use the sample of its own type, or that of the next size."""
+    parts = table(spark, sf_dir, "part")
+    demand = parts.select(F.concat_ws("/", "p_brand", F.floor(F.col("p_size") / 5).cast("string")).alias("plan"), F.col("p_partkey").cast("string").alias("demand"), "p_size", "p_type")
+    own, next_one = (F.concat_ws("/", (F.col("p_size") + k).cast("string"), "p_type") for k in (0, 1))
+    return sampling.allocate(demand.select("plan", "demand", F.explode(F.array(own, next_one)).alias("slot")), "plan")
 
 
 def segment_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,13 +42,13 @@ SQL["latest_revision_only"] = f"WITH {_REV} SELECT id, chain, parent_id FROM r W
 
 
 def version_append_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third order is offered as the next revision of the order with the number before it."""
+    """Every order is offered as the next revision of the order with the number before it."""
     existing = _revisions(spark, sf_dir)
-    new = existing.filter("id % 3 = 1").select((F.col("id") + 10_000_000).alias("id"), (F.col("id") - 1).alias("parent_id"), "chain", F.when(F.col("id") % 2 == 0, F.col("file_hash")).otherwise(F.sha2(F.concat(F.lit("new"), F.col("id").cast("string")), 256)).alias("file_hash"))
+    new = existing.select((F.col("id") + 10_000_000).alias("id"), (F.col("id") - 1).alias("parent_id"), "chain", F.when(F.col("id") % 2 == 0, F.col("file_hash")).otherwise(F.sha2(F.concat(F.lit("new"), F.col("id").cast("string")), 256)).alias("file_hash"))
     return versions.append_verdicts(new, existing).select("id", "parent_id", "chain", "reason")
 
 
-SQL["version_append_guards"] = f"""WITH {_REV}, n AS (SELECT id + 10000000 AS id, id - 1 AS parent_id, chain, CASE WHEN id % 2 = 0 THEN o_totalprice END AS price FROM r WHERE id % 3 = 1)
+SQL["version_append_guards"] = f"""WITH {_REV}, n AS (SELECT id + 10000000 AS id, id - 1 AS parent_id, chain, CASE WHEN id % 2 = 0 THEN o_totalprice END AS price FROM r)
 SELECT n.id, n.parent_id, n.chain, CASE WHEN p.id IS NULL THEN 'parent_missing' WHEN p.status <> 'done' THEN 'parent_not_finished'
  WHEN EXISTS (SELECT 1 FROM r AS c WHERE c.parent_id = n.parent_id) THEN 'parent_not_latest' WHEN p.chain <> n.chain THEN 'other_application' WHEN n.price IS NOT NULL THEN 'file_known' END AS reason
 FROM n LEFT JOIN r AS p ON p.id = n.parent_id"""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,18 +18,21 @@ def unique_uploads(stream: DataFrame, at: str, file_hash: str, horizon: str) ->
 
 
 def intake(stream: DataFrame, history_path: str, checkpoint: str, file_hash: str) -> StreamingQuery:
-    """Appends what history does not have yet, batch by batch; repeats within a batch keep one row.
+    """Appends what history does not have yet, batch by batch; repeats of a hash within a batch keep one row.
 
-    A batch that is run again after a failure finds its rows in history, so nothing is written twice.
+    Rows without a hash are all kept.  Each batch is a folder of history (column ``batch``) that a second run of the
+    batch replaces, so nothing is written twice; a history belongs to one checkpoint.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([file_hash])
+        hashed, bare = batch.filter(F.col(file_hash).isNotNull()), batch.filter(F.col(file_hash).isNull())
+        fresh = hashed.dropDuplicates([file_hash])
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(history_path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            fresh = fresh.join(spark.read.parquet(history_path).select(file_hash), file_hash, "left_anti")
-        fresh.write.mode("append").parquet(history_path)
+            known = spark.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.LongType())])).parquet(history_path)
+            fresh = fresh.join(known.filter(F.col("batch") != number).select(file_hash), file_hash, "left_anti")
+        fresh.unionByName(bare).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -74,20 +78,26 @@ def lock_outs(stream: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame
 
 
 def lock_outs_batch(events: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """The same for a table: a fold over each user's events in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "failed")))
-    start = F.struct(F.lit(0).alias("fails"), F.lit(None).cast("timestamp").alias("until"), F.expr("cast(array() as array<struct<at: timestamp, until: timestamp>>)").alias("out"))
-
-    def fold(acc, e):
-        locked = F.coalesce(e["at"] < acc["until"], F.lit(False))
-        fails = F.when(e["failed"], acc["fails"] + 1).otherwise(0)
-        hit = fails >= limit
-        end = e["at"] + F.make_interval(mins=F.lit(minutes))
-        new = F.struct(F.when(hit, 0).otherwise(fails).alias("fails"), F.when(hit, end).alias("until"), F.when(hit, F.array_append(acc["out"], F.struct(e["at"].alias("at"), end.alias("until")))).otherwise(acc["out"]).alias("out"))
-        return F.when(locked, acc).otherwise(new)
-
-    per = events.groupBy("user_id").agg(ordered.alias("e")).select("user_id", F.aggregate("e", start, fold)["out"].alias("out"))
-    return per.select("user_id", F.explode("out").alias("o")).select("user_id", "o.*")
+    """The same for a table: each user's events pass in order, and only a counter and the end of a lock are held."""
+    length = pd.Timedelta(minutes=minutes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, fails, until = None, 0, None
+        for frame in frames:
+            out = []
+            for who, at, failed in zip(frame["user_id"], frame["at"], frame["failed"], strict=True):
+                if who != user:
+                    user, fails, until = who, 0, None
+                if until is not None and at < until:
+                    continue
+                fails, until = (fails + 1 if failed else 0), None
+                if fails >= limit:
+                    fails, until = 0, at + length
+                    out.append((who, at, until))
+            yield pd.DataFrame(out, columns=["user_id", "at", "until"]).astype({"at": "datetime64[ns]", "until": "datetime64[ns]"})
+
+    ordered = events.select("user_id", "at", "failed").repartition("user_id").sortWithinPartitions("user_id", "at", "failed")
+    return ordered.mapInPandas(run, T.StructType([events.schema["user_id"], events.schema["at"], T.StructField("until", events.schema["at"].dataType)]))
 
 
 def retry_eligible(tasks: DataFrame, key: str, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsheaf.functions import normalize as N
-from docsheaf.functions import specs
+from docsheaf.functions import scopes, specs
 from docsheaf.operators import conditions, sampling
 
 
@@ -127,8 +127,7 @@ def test_conflicts_are_unknown(spark):
 
 
 def test_scope_segments():
-    got = sampling.scope_segments("0.08-0.4(2芯), 0.12-0.4(3-8芯)")
+    got = scopes.scope_segments("0.08-0.4(2芯), 0.12-0.4(3-8芯)")
     assert [(s["section_min"], s["section_max"], s["core_min"], s["core_max"]) for s in got] == [(0.08, 0.4, 2, 2), (0.12, 0.4, 3, 8)]
-    assert sampling.scope_segments("1.5(2芯,3芯) 扁") == [{"section_min": 1.5, "section_max": 1.5, "core_min": 2, "core_max": 3, "core_values": [2, 3], "shapes": ["flat"]}]
-    assert sampling.scope_segments("3×2×0.4+1×0.4") is None and sampling.scope_segments("x(2芯)") is None
-    assert sampling.scope_segments("") == [] and sampling.scope_segments("扁") is None
+    assert scopes.scope_segments("1.5(2芯,3芯) 扁形") == [{"section_min": 1.5, "section_max": 1.5, "core_min": 2, "core_max": 3, "core_values": [2, 3], "shapes": ["flat"], "special": ""}]
+    assert scopes.scope_segments("3×0.5+1×0.4") is None and scopes.scope_segments("x(2芯)") is None

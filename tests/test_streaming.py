@@ -24,9 +24,13 @@ def test_intake_appends_each_hash_once(spark, tmp_path):
     src, out, schema = f"file://{tmp_path}/src", f"file://{tmp_path}/out", "id int, sha string, at timestamp"
     write(spark, src, [(1, "a", T0), (2, "a", T0), (3, "b", T0)], schema)
     intake.intake(stream(spark, src, schema), out, f"file://{tmp_path}/c", "sha").awaitTermination()
-    write(spark, src, [(4, "b", T0), (5, "c", T0)], schema)
+    write(spark, src, [(4, "b", T0), (5, "c", T0), (6, None, T0), (7, None, T0)], schema)
     intake.intake(stream(spark, src, schema), out, f"file://{tmp_path}/c", "sha").awaitTermination()
-    assert sorted(r["sha"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    assert sorted(r["sha"] or "-" for r in spark.read.parquet(out).collect()) == ["-", "-", "a", "b", "c"]
+    again = spark.read.parquet(src).filter("id > 3")
+    for _ in range(2):  # a batch that is run again replaces its own rows
+        intake.intake(spark.readStream.schema(schema).parquet(src), f"{out}2", f"file://{tmp_path}/c{_}", "sha").awaitTermination()
+    assert again.count() == 4 and spark.read.parquet(f"{out}2").count() == 5
 
 
 def test_unique_uploads_and_latest(spark, tmp_path):
