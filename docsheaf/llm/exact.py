@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsheaf.llm.shared import cut, free_name, new_path, read_documents, row_keys, whole_text
+from docsheaf.llm.shared import chosen_rows, cut, free_name, new_path, read_documents, row_keys, whole_text
 
 #: Buckets of a new index; a production index of 100 TB would take some thousands.
 BUCKETS = 32
@@ -55,8 +55,8 @@ class DigestIndex:
     def ingest(self, rows: DataFrame) -> DataFrame:
         """Adds the new digests of ``rows`` (see digests()); returns their groups.
 
-        The groups: digest, keep_id, group_size (rows of this batch), of which ``old`` were in the
-        index before; then keep_id is the index's.
+        The groups: digest, keep_id, group_size (rows of this batch).  Where the index had the digest
+        before, keep_id is the index's.
         """
         groups = winners(rows)
         fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
@@ -94,13 +94,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each digest group stays, with its own columns.
 
-    Rows are known by id and text, so rows that share an id, null too, but no digest stay side by side.
+    Rows are known by id and text, so rows that share an id, null too, but no digest stay side by side.  A row
+    that stands several times is counted where it is read, so its copies are one entry in any shuffle of keys.
     """
     k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
-    keys = [k.alias(c) for k, c in zip(row_keys(docs["doc_id"], docs["text"]), (k1, k2), strict=True)]
-    best = F.max(F.struct("n_chars", (-F.col("id")).alias("neg"), k1, k2)).alias("best")
-    kept = digests(docs, more=keys).groupBy("digest").agg(best).select(f"best.{k1}", f"best.{k2}")
-    return docs.select("*", *keys).join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
+    keys = dict(zip((k1, k2), row_keys(docs["doc_id"], docs["text"]), strict=True))
+    rows = digests(docs, more=[k.alias(n) for n, k in keys.items()]).groupBy("digest", "n_chars", "id", k1, k2).agg(F.count("*").alias("copies"))
+    best = F.max(F.struct("n_chars", (-F.col("id")).alias("neg"), k1, k2, "copies")).alias("best")
+    chosen = rows.groupBy("digest").agg(best).select(f"best.{k1}", f"best.{k2}", "best.copies")
+    return chosen_rows(docs, keys, chosen)
 
 
 SQL = r"""
