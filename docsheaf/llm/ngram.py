@@ -12,12 +12,15 @@
    block: their ordered sets form a path-compressed trie, and a walk over it carries, for all nodes of the
    block at once, how much they share with the path so far; branches share that vector, and a branch is
    left when the lengths that remain can't make a link.
-5. The rest, exactly.  Nodes that share a prefix shingle but met in no block, and are not connected
-   yet, are compared one by one.  So the sketches only save work; no link depends on them.
+5. The rest, exactly.  Nodes that are not connected yet may still link if they share a prefix shingle and
+   are of similar size.  Each prefix shingle and size class is a block again; blocks of the same nodes are one.
+   A parity signature of each set bounds every pair's difference from below; nodes that it lets pass go
+   through a trie of their block.  So the sketches only save work, and every link comes from a trie.
 6. Components of all links.
 
-Large blocks are split; each part also gets the block's first node, which keeps the parts of one
-family connected, and step 5 compares what the split kept apart.
+Blocks are bounded in nodes and in shingles.  A large block of sketches is split, and each part also gets the
+block's first node, which keeps the parts of one family connected.  A large block of a prefix shingle is split
+so that every two of its parts meet in one task.
 
 Defined cases: null, empty and blank texts have no shingles and are components of their own; a
 text of fewer than five words is one shingle; repeated rows are copies; rows with a null id take the
@@ -36,12 +39,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.llm.components import components
-from docsheaf.llm.shared import cut, free_name, read_documents, row_keys, whole_text
+from docsheaf.llm.shared import chosen_rows, cut, free_name, read_documents, row_keys, whole_text
 from docsheaf.llm.tokens import slices
 
 WORDS, PERCENT = 5, 80
-#: Minima per node; nodes of one trie block; shingles of one hash range; bytes of text packed together.
-SKETCHES, BLOCK_NODES, RANGE_SHINGLES, CHUNK_BYTES = 4, 1000, 2_000_000, 10_000_000
+#: Minima per node; nodes and shingles of one trie block; shingles of one hash range; bytes of text packed together.
+SKETCHES, BLOCK_NODES, BLOCK_SHINGLES, RANGE_SHINGLES, CHUNK_BYTES = 2, 1000, 2_000_000, 2_000_000, 10_000_000
+#: Bits of a parity signature; base of the size classes, over 1 / 0.8, so that linked sizes are in neighbouring classes.
+SIGNATURE_BITS, CLASS_BASE = 1024, 1.2501
 PACKED_SCHEMA = "bucket int, chunk long, n int, shingles binary, owners binary, nodes binary, doc_ids array<bigint>, sizes array<int>, keys array<bigint>"
 SHARED_SCHEMA = "chunk long, refs array<bigint>, counts array<int>, shared array<bigint>, doc_ids array<bigint>, sizes array<int>, keys array<bigint>"
 
@@ -204,7 +209,7 @@ def _minima(shared: str, sketches: int = SKETCHES) -> Column:
 
 
 def trie_links(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a block that connect what is linked in it (a spanning forest of its links).
+    """What is linked in a block, directly or by others: each node with the smallest one of its group.
 
     ``sets`` hold, in ascending order, the places of shingles in the block's order.  The trie is
     walked in lexicographic order of the sets; the stack holds one vector per branching depth: how many
@@ -235,7 +240,6 @@ def trie_links(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> l
         most = overlap + np.minimum(lengths[k] - depth, lengths - overlap)
         return int(linked(most, sizes, sizes[k]).sum()) > 1
 
-    links: list[tuple[int, int]] = []
     order = sorted(range(g), key=lambda k: sets[k].tolist())
     stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(g, dtype=np.int64))]
     last = None
@@ -258,11 +262,11 @@ def trie_links(nodes: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> l
         if len(own) > depth:
             overlap = overlap + along(own[depth:])
         for other in np.flatnonzero(linked(overlap, sizes, sizes[k])).tolist():
-            a, b = root(k), root(other)
-            if a != b:
-                parent[a] = b
-                links.append((nodes[k], nodes[other]))
-    return links
+            parent[root(k)] = root(other)
+    least: dict[int, int] = {}
+    for k in range(g):
+        least[root(k)] = min(least.get(root(k), nodes[k]), nodes[k])
+    return [(nodes[k], least[root(k)]) for k in range(g) if nodes[k] != least[root(k)]]
 
 
 def _block_links(rows: pa.Table) -> pa.Table:
@@ -274,38 +278,63 @@ def _block_links(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with a signature: for each of SIGNATURE_BITS classes of shingles, whether the node has an odd number of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            shared = part.column("shared")
+            row = np.repeat(np.arange(part.num_rows), shared.value_lengths().to_numpy())
+            bit = shared.flatten().to_numpy() & (SIGNATURE_BITS - 1)
+            odd = np.bincount(row * SIGNATURE_BITS + bit, minlength=part.num_rows * SIGNATURE_BITS) & 1
+            packed = np.packbits(odd.astype(bool).reshape(part.num_rows, SIGNATURE_BITS), axis=1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in packed], pa.binary())], names=[*part.schema.names, "signature"])
+
+
 def _blocks(nodes: DataFrame, block_nodes: int) -> DataFrame:
     """(node, block): for every minimum that two nodes have, its block, split where it is large."""
-    keys = nodes.select("node", F.posexplode("minima").alias("sketch", "least"))
-    sized = keys.groupBy("sketch", "least").agg(F.count("*").alias("c"), F.min("node").alias("first")).filter("c > 1").withColumn("parts", F.ceil(F.col("c") / block_nodes).cast("int"))
+    keys = nodes.select("node", F.size("shared").alias("len"), F.posexplode("minima").alias("sketch", "least"))
+    parts = F.ceil(F.greatest(F.col("c") / block_nodes, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    sized = keys.groupBy("sketch", "least").agg(F.count("*").alias("c"), F.sum("len").alias("weight"), F.min("node").alias("first")).filter("c > 1").select("sketch", "least", "first", parts.alias("parts"))
     part = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     return keys.join(sized, ["sketch", "least"]).select("node", F.explode(part).alias("part"), "sketch", "least").select("node", F.xxhash64("sketch", "least", "part").alias("block"))
 
 
-def _missed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a prefix shingle, may be linked, met in no block and are not connected yet.
+def _prefix_blocks(nodes: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame:
+    """(node, block): nodes of similar size that share a prefix shingle, where they are of several components.
 
-    A shingle's nodes are compared only if they are of several components; then those outside its
-    largest component are compared with all.
+    Shingles that the same nodes have in their prefixes make one block.  Of a large block every two parts meet.
+    """
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(CLASS_BASE)))).cast("int")
+    rows = nodes.join(labels, "node").select("node", "component", F.size("shared").alias("len"), size_class.alias("k"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("shingle"))
+    rows = rows.select("node", "component", "len", F.explode(F.array(F.xxhash64("shingle", "k"), F.xxhash64("shingle", F.col("k") + 1))).alias("slot"))
+    holders = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")]
+    per = rows.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.sum("len").alias("weight"), *holders).filter("low <> high")
+    over = F.greatest(F.col("c") / block_nodes, F.col("weight") / BLOCK_SHINGLES)
+    parts = F.when(over <= 1, 1).otherwise(F.ceil(2 * over)).cast("int")
+    slots = per.groupBy("c", "x1", "x2").agg(F.min("slot").alias("slot"), F.min("weight").alias("weight")).select("slot", parts.alias("parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.col("parts") == 1) | (j != own))
+    return rows.join(slots, "slot").select("node", "slot", own.alias("own"), F.explode(met).alias("other")).select("node", F.xxhash64("slot", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+
+
+def _passing(rows: pa.Table) -> pa.Table:
+    """The nodes of a block that may have a link with one of another component: their signatures do not rule it out.
+
+    The signatures' distance is at most the symmetric difference of the shared shingles; shingles of one node alone add
+    to that, and a link allows a ninth of both sizes.
     """
-    rows = nodes.join(labels, "node").select("node", "n", "component", "blocks", F.size("shared").alias("len"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
-    rows = cut(rows)
-    per = rows.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count("*").alias("several")).filter("several > 1").drop("several")
-    rows = rows.join(per, "shingle")
-    minor, every = rows.filter("component <> top").alias("a"), rows.alias("b")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    rest = F.least(a("len") - a("pos"), b("len") - b("pos"))
-    once = (b("component") == b("top")) | (a("node") < b("node"))
-    alike = (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * PERCENT) & (rest * (100 + PERCENT) >= (a("n") + b("n")) * PERCENT)
-    on = (a("shingle") == b("shingle")) & (a("component") != b("component")) & once & alike & ~F.arrays_overlap(a("blocks"), b("blocks"))
-    return minor.join(every, on).select(F.greatest(a("node"), b("node")).alias("u"), F.least(a("node"), b("node")).alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("shared").alias("s_u"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("shared").alias("s_v"))
-    both = pairs.join(left, "u").join(right, "v")
-    return both.filter(linked(F.size(F.array_intersect("s_u", "s_v")), F.col("n_u"), F.col("n_v"))).select("u", "v")
+    g = rows.num_rows
+    bits = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint64).reshape(g, -1)
+    n, component = rows.column("n").to_numpy().astype(np.int64), rows.column("component").to_numpy()
+    alone = n - rows.column("len").to_numpy()
+    passing = np.zeros(g, dtype=bool)
+    for at in range(0, g, 64):
+        own = slice(at, at + 64)
+        apart = np.bitwise_count(bits[own, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64) + alone[own, None] + alone[None, :]
+        may = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[own, None] + n[None, :])
+        passing[own] = (may & (component[own, None] != component[None, :])).any(axis=1)
+    return pa.table({"node": rows.column("node").filter(passing), "block": rows.column("block").filter(passing)})
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, sketches: int = SKETCHES, block_nodes: int = BLOCK_NODES, range_shingles: int = RANGE_SHINGLES) -> DataFrame:
@@ -321,23 +350,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sketches: int = SKETCHE
     own = found.filter("refs is not null").select("chunk", "refs", "counts", "shared").groupBy("chunk").applyInArrow(_regrouped, "ref long, shared array<bigint>")
     need = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     nodes = own.join(sets, own["ref"] == sets["node"]).select("node", "n", "shared", (F.size("shared") - need + 1).alias("prefix")).filter("prefix > 0")
-    nodes = cut(nodes.withColumn("minima", _minima("shared", sketches)))
-    blocks = cut(_blocks(nodes, block_nodes))
-    links = cut(blocks.join(nodes.select("node", "n", "shared"), "node").groupBy("block").applyInArrow(_block_links, "u long, v long"))
-    labels = _labels(nodes, links)
-    nodes = nodes.join(blocks.groupBy("node").agg(F.collect_set("block").alias("blocks")), "node", "left").withColumn("blocks", F.coalesce("blocks", F.expr("cast(array() as array<bigint>)")))
-    more = cut(_verified(_missed(nodes, labels), nodes))
-    if not more.isEmpty():
-        labels = _labels(nodes, links.unionAll(more))
+    nodes = cut(nodes.withColumn("minima", _minima("shared", sketches)).mapInArrow(_signed, "node long, n int, shared array<bigint>, prefix int, minima array<bigint>, signature binary"))
+    own_sets = nodes.select("node", "n", "shared")
+
+    def links_of(blocks: DataFrame) -> DataFrame:
+        return cut(blocks.join(own_sets, "node").groupBy("block").applyInArrow(_block_links, "u long, v long"))
+
+    labels = _relabelled(nodes.select("node", F.col("node").alias("component")), links_of(_blocks(nodes, block_nodes)))
+    members = _prefix_blocks(nodes, labels, block_nodes).join(nodes.select("node", "n", F.size("shared").alias("len"), "signature"), "node").join(labels, "node")
+    rest = cut(members.groupBy("block").applyInArrow(_passing, "node long, block long"))
+    if not rest.isEmpty():
+        more = links_of(rest).join(labels.toDF("u", "cu"), "u").join(labels.toDF("v", "cv"), "v")
+        labels = _relabelled(labels, more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     named = sets.join(labels, "node", "left").select("key", "n", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(named.join(smallest, "component").select("key", "n", "component_id"))
     return documents.join(named, ["key", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return cut(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (u, v) between components."""
+    found = components(links).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    return cut(labels.join(found, labels["component"] == found["was"], "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,14 +382,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that with the smallest id, null last; so do all rows without words.
 
-    The join knows a row by a hash of its id and text, so rows may share an id or have none.
+    The join knows a row by two hashes of its id and text, so rows may share an id or have none.
     """
-    k1, k2, blank = (free_name(docs, c) for c in ("k1", "k2", "blank"))
-    keys = row_keys(docs["doc_id"], docs["text"])
-    ids = docs.select(keys[0].alias("row"), docs["doc_id"].alias("id")).distinct()
-    found = near_duplicates(docs.select(keys[0].alias("doc_id"), "text"))
-    rows = found.select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("words")).distinct().join(ids, "row")
-    kept = rows.groupBy("component_id", "words").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("first.row").alias(k1))
-    keyed = docs.select("*", keys[0].alias(k1), keys[1].alias(k2)).join(kept, k1, "left_semi")
-    own = F.when(~F.rlike(whole_text(keyed["text"]), F.lit(r"[^\x20\x09-\x0D]")), F.monotonically_increasing_id())
-    return keyed.withColumn(blank, own).dropDuplicates([k1, k2, blank]).select(*docs.columns)
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    keys = dict(zip((k1, k2), row_keys(docs["doc_id"], docs["text"]), strict=True))
+    known = docs.select(docs["doc_id"].alias("id"), *[k.alias(n) for n, k in keys.items()]).groupBy(k1, k2).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    found = near_duplicates(docs.select(keys[k1].alias("doc_id"), "text"))
+    rows = found.groupBy(F.col("doc_id").alias(k1)).agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n")).join(known, k1)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", k1, k2, "copies")).alias("first")
+    kept = rows.filter("n > 0").groupBy("component_id").agg(first).select(f"first.{k1}", f"first.{k2}", "first.copies")
+    blank = rows.filter("n = 0").select(k1, k2, F.lit(1).cast("long").alias("copies"))
+    return chosen_rows(docs, keys, kept.unionAll(blank))
