@@ -143,7 +143,7 @@ w AS (SELECT x.o_orderkey, l_suppkey AS method FROM x JOIN lineitem ON l_partkey
 p AS (SELECT w.o_orderkey, method, c_custkey AS id, c_mktsegment, floor(c_acctbal) AS priority FROM w JOIN customer ON c_nationkey = method WHERE c_acctbal > 0 AND (c_custkey % 3 <> 0 OR c_custkey = (SELECT o_custkey FROM orders AS o WHERE o.o_orderkey = w.o_orderkey))),
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY o_orderkey, method, c_mktsegment ORDER BY priority DESC, id) = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY priority DESC, id) AS rank FROM f QUALIFY rank <= 5)
-SELECT o_orderkey, string_agg('- 方法' || method || ' ' || c_mktsegment || ' =' || id % 1 || 'mm', chr(10) ORDER BY rank) AS context FROM k GROUP BY 1""".replace("'- 方法' || method || ' ' || c_mktsegment || ' =' || id % 1 || 'mm'", "'- 方法' || method || ' ' || c_mktsegment || ' =mm'"))
+SELECT o_orderkey, string_agg('- 方法' || method || ' ' || c_mktsegment || ' =mm', chr(10) ORDER BY rank) AS context FROM k GROUP BY 1""")
 def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's part as its model: lines are the matrix, suppliers the methods, customers the parameters."""
     chosen = orders(spark, sf_dir).join(parts(spark, sf_dir).select(F.col("p_partkey").alias("o_custkey"), F.col("p_brand").alias("series_id")), "o_custkey").select("o_orderkey", F.col("o_custkey").alias("model_id"), "series_id")

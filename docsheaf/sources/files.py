@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS = "page_no int, table_no int, row_no int, col_no int, text string, rowspan int, colspan int"
+CELLS = "cell_id string, table_no int, row_no int, col_no int, text string, rowspan int, colspan int"
 
 
 def rule_package(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,15 +109,15 @@ def grids(html: str | None) -> list[list[list[tuple[str, int, int]]]]:
 
 
 def cells(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """One row per grid place of every table of every page."""
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", " + CELLS.replace("page_no int, ", "")
+    """One row per grid place of every table of every page, with an id (table, row, column) that references name."""
+    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys) + ", " + CELLS
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for own, text in zip(frame[keys].itertuples(index=False, name=None), frame[html], strict=True):
-                rows += [(*own, t, r, c, *cell) for t, grid in enumerate(grids(text)) for r, row in enumerate(grid) for c, cell in enumerate(row)]
-            yield pd.DataFrame(rows, columns=[*keys, "table_no", "row_no", "col_no", "text", "rowspan", "colspan"])
+                rows += [(*own, f"t{t}r{r}c{c}", t, r, c, *cell) for t, grid in enumerate(grids(text)) for r, row in enumerate(grid) for c, cell in enumerate(row)]
+            yield pd.DataFrame(rows, columns=[*keys, "cell_id", "table_no", "row_no", "col_no", "text", "rowspan", "colspan"])
 
     return pages.select(*keys, html).mapInPandas(parse, schema)
 
@@ -147,3 +147,26 @@ def list_records(pages: DataFrame, id_col: str, html: str, item: str, record_id:
 
 def item_column(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"<[^>]*>", " "))
+
+
+def tree(files: DataFrame, path: str, levels: int = 3) -> DataFrame:
+    """Files per folder at every level of their paths, the whole tree first: level, folder, files."""
+    parts = F.split(F.regexp_replace(path, r"^[a-z]+:/*|^/+", ""), "/")
+    rows = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(levels), F.size(parts) - 1)), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, 1, n), "/").alias("folder")))).alias("t"))
+    return rows.groupBy("t.level", "t.folder").agg(F.count("*").alias("files"))
+
+
+def marked_pages(pages: DataFrame, keys: list[str], page: str, text: str, marker: str, header: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with a marker, keys whose header stands on several pages): extra evidence is only read where the header is unique."""
+    shown = pages.filter(F.regexp_like(text, F.lit(marker)))
+    twice = pages.filter(F.regexp_like(text, F.lit(header))).groupBy(*keys).agg(F.count_distinct(page).alias("pages")).filter("pages > 1")
+    return shown.join(twice, keys, "left_anti"), twice
+
+
+def table_lines(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, table_no, row_no, owner, line): a line per table row; rows whose first cell is empty are conditions of the item above."""
+    cells = F.array_sort(F.collect_list(F.struct("col_no", "text")))
+    rows = grid.groupBy(*keys, "table_no", "row_no").agg(F.transform(cells, lambda c: c["text"]).alias("cells"))
+    first = F.trim(F.get("cells", F.lit(0)))
+    w = Window.partitionBy(*keys, "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("owner", F.last(F.nullif(first, F.lit("")), ignorenulls=True).over(w)).select(*keys, "table_no", "row_no", "owner", F.array_join(F.filter("cells", lambda c: F.trim(c) != ""), " | ").alias("line"))

@@ -27,9 +27,13 @@ def audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def markdown(checks: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, text): one table line per check, in order."""
-    cell = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("\\|"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, ("item", "reported", "required", "verdict"))), F.lit(" |"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"))))
-    return checks.groupBy(key).agg(F.concat(F.lit("| item | reported | required | verdict |\n|---|---|---|---|\n"), F.array_join(F.transform(rows, lambda x: x["t"]), "\n")).alias("text"))
+def markdown(checks: DataFrame, key: str, order: str, findings: DataFrame | None = None) -> DataFrame:
+    """(key, text): a table line per check, in order; then a list line per finding, where there are any."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    listed = lambda line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]), "\n")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, ("item", "reported", "required", "verdict"))), F.lit(" |"))
+    table = checks.groupBy(key).agg(F.concat(F.lit("| item | reported | required | verdict |\n|---|---|---|---|\n"), listed(row)).alias("text"))
+    if findings is None:
+        return table
+    found = findings.groupBy(key).agg(listed(F.concat(F.lit("- "), F.concat_ws(": ", *map(cell, ("item", "should_be"))))).alias("__found"))
+    return table.join(found, key, "left").select(key, F.concat_ws("\n\n", "text", "__found").alias("text"))
