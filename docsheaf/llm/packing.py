@@ -67,7 +67,7 @@ def plan(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR,
 
 def _packed(path: str, capacity: int, end_id: int, pool_tokens: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.tokenizer_coder(path, added)
+        coder = tokens.vocabulary_coder(path, added)
         following = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         end = np.array([end_id], dtype="<u4")
         docs: list = []
@@ -100,10 +100,10 @@ def _packed(path: str, capacity: int, end_id: int, pool_tokens: int, added: bool
         held = 0
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                flat, counts = coder.encode(part.column("text"))
+                own = [np.concatenate([x, end]) for x in coder.encode(part.column("text"))]
                 docs += part.column("doc_id").to_pylist()
-                ids += [np.concatenate([x, end]) for x in np.split(flat, np.cumsum(counts)[:-1])]
-                held += len(flat) + len(counts)
+                ids += own
+                held += sum(map(len, own))
                 if held >= pool_tokens:
                     yield from flush()
                     held = 0
@@ -114,7 +114,7 @@ def _packed(path: str, capacity: int, end_id: int, pool_tokens: int, added: bool
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS, added: bool = False) -> DataFrame:
-    """Pieces of the documents (doc_id, text) with their ids, as in SCHEMA; ``added`` as in tokenizer_coder()."""
+    """Pieces of the documents (doc_id, text) with their ids, as in SCHEMA; ``added`` as in tokens.VocabularyCoder."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(path, capacity, end_id, pool_tokens, added), SCHEMA)
 
 

@@ -30,9 +30,7 @@ from docsheaf.llm.shared import new_path, read_documents
 
 BITS, LANES, STEPS, CHECK = 20, 2048, 256, 128
 LOW = np.uint64(1 << 31)
-SEGMENT_TOKENS, FILE_BYTES, END_ID = 1_500_000, 24_000_000, 2
-#: Quantiles of doc_id that one pass estimates; the most files there can be.
-FINEST = 10_000
+SEGMENT_TOKENS, END_ID = 1_500_000, 2
 BLOCK_TYPE = pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("steps", pa.int32()), ("lanes", pa.int32()), ("states", pa.binary()), ("offsets", pa.list_(pa.int32())), ("words", pa.binary())])
 SEGMENT_SCHEMA = "segment long, n_tokens long, doc_ids array<bigint>, doc_tokens array<int>, table binary, blocks array<struct<n: int, crc: bigint, steps: int, lanes: int, states: binary, offsets: array<int>, words: binary>>"
 SEGMENT_TYPE = pa.schema([("segment", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("table", pa.binary()), ("blocks", pa.list_(BLOCK_TYPE))])
@@ -124,69 +122,46 @@ def decode_segment(table: bytes, blocks: list[dict]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
 
 
-def _encoded(path: str, end_id: int, added: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.tokenizer_coder(path, added)
-        end = np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                flat, counts = coder.encode(part.column("text"))
-                ids = [np.concatenate([x, end]).astype("<u2" if max(end_id, int(x.max(initial=0))) < 65536 else "<u4") for x in np.split(flat, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("file").combine_chunks(), part.column("doc_id").combine_chunks(), pa.array(counts + 1, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["file", "doc_id", "n", "ids"],
-                )
-
-    return run
-
-
-def _segments(segment_tokens: int):
+def _segments(vocabulary: str, end_id: int, segment_tokens: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens.vocabulary_coder(vocabulary, added)
+        end = np.array([end_id], dtype=np.uint32)
         following = TaskContext.get().partitionId() << 24
         docs: list = []
-        counts: list[int] = []
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held)
-            table, blocks = encode_segment(ids)
-            row = {"segment": following, "n_tokens": len(ids), "doc_ids": docs, "doc_tokens": counts, "table": table, "blocks": blocks}
+            table, blocks = encode_segment(np.concatenate([x for ids in held for x in (ids, end)]))
+            counts = [len(ids) + 1 for ids in held]
+            row = {"segment": following, "n_tokens": sum(counts), "doc_ids": docs, "doc_tokens": counts, "table": table, "blocks": blocks}
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_TYPE)
 
         total = 0
         for batch in batches:
-            for doc, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                raw = ids.as_buffer()
-                docs.append(doc)
-                counts.append(n)
-                held.append(np.frombuffer(raw, dtype="<u2" if raw.size == 2 * n else "<u4").astype(np.uint32))
-                total += n
-                if total >= segment_tokens:
-                    yield flush()
-                    docs, counts, held, total, following = [], [], [], 0, following + 1
+            for part in tokens.slices(batch, "text"):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")), strict=True):
+                    docs.append(doc)
+                    held.append(ids)
+                    total += len(ids) + 1
+                    if total >= segment_tokens:
+                        yield flush()
+                        docs, held, total, following = [], [], 0, following + 1
         if docs:
             yield flush()
 
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES, segment_tokens: int = SEGMENT_TOKENS, added: bool = False) -> None:
-    """Writes (doc_id, text) as token files, ascending by doc_id; ``added`` as in tokenizer_coder().
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, added: bool = False) -> None:
+    """Writes (doc_id, text) as token files, ascending by doc_id; ``added`` as in tokens.VocabularyCoder.
 
-    Texts are encoded where they are read; only ids, two bytes each, are dealt to the files.  The
-    ranges of the files are quantiles of doc_id, one number per file on the driver.
+    Rows are dealt by ranges of doc_id, at most spark.sql.shuffle.partitions files of which Spark joins small
+    ones; among equal ids a hash of the text goes on, so one id, or none, with very many rows spreads too.  A
+    task holds one segment, whatever the size of its file.
     """
-    points = F.percentile_approx("doc_id", [k / FINEST for k in range(1, FINEST)], 10 * FINEST)
-    seen = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), points.alias("points")).first()
-    files = max(1, -(-(seen["bytes"] or 0) // file_bytes))
-    points = seen["points"] or []
-    bounds = sorted({points[k * FINEST // files - 1] for k in range(1, files) if k * FINEST // files}) if points else []
-    number = F.lit(0)
-    if bounds:
-        number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("doc_id")))
-    encoded = docs.select(F.coalesce(number, F.lit(0)).cast("int").alias("file"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(vocabulary, end_id, added), "file int, doc_id long, n long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("doc_id").select("doc_id", "n", "ids")
-    dealt.mapInArrow(_segments(segment_tokens), SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
+    salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("salt", F.xxhash64("text"))
+    dealt = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
+    dealt.mapInArrow(_segments(vocabulary, end_id, segment_tokens, added), SEGMENT_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
