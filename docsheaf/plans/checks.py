@@ -191,9 +191,9 @@ def guard_and_catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.side_by_side(counts, summaries.guard_summary(records).withColumn("types", joined("types")))
 
 
-@registered("""SELECT l_orderkey, (SELECT min_by(l_partkey::VARCHAR, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) FROM lineitem AS i WHERE i.l_orderkey = l.l_orderkey AND i.l_returnflag = 'R') AS report_no, min_by(l_suppkey::VARCHAR, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) AS company FROM lineitem AS l GROUP BY 1""")
+@registered("""SELECT l_orderkey, (SELECT min_by(l_partkey::VARCHAR, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) FROM lineitem AS i WHERE i.l_orderkey = l.l_orderkey AND i.l_returnflag = 'R') AS report_no, min_by(l_suppkey::VARCHAR, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) AS company FROM lineitem AS l GROUP BY 1""")
 def first_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select("l_orderkey", (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey").cast("string")).otherwise("  ").alias("report_no"), F.col("l_suppkey").cast("string").alias("company"))
+    rows = lines(spark, sf_dir).select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey").cast("string")).otherwise("  ").alias("report_no"), F.col("l_suppkey").cast("string").alias("company"))
     return summaries.first_per_part(rows, "l_orderkey", "pos", ["report_no", "company"])
 
 
