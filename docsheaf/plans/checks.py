@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
 from docsheaf.functions import scopes
-from docsheaf.operators import evidence, governance, listing, matching, privacy, sampling, segments, summaries, verdicts, versions
+from docsheaf.operators import evidence, governance, listing, matching, packs, privacy, requirements, rulepack, sampling, segments, summaries, verdicts, versions
 from docsheaf.plans.reviews import lines, orders
 from docsheaf.plans.tables import table
 from docsheaf.plans.texts import part_key, part_size, part_type, parts, said
@@ -366,3 +366,125 @@ def scope_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = said("RVVP 0.5-", part_size(), "(2-4芯)；ABC ", part_size(), "\nrvv x(", part_size(), "芯)")
     rows = sampling.scope_entries(parts(spark, sf_dir).select("p_partkey", text.alias("t")), "p_partkey", "t", models)
     return rows.select("p_partkey", "pos", "model", F.when(F.col("segments").isNotNull(), F.size("segments")).alias("segments"), joined("issues").alias("issues"))
+
+
+_REVIEWS = [
+    ("认证单元划分与型式试验送样规则", "x", "x", "x", "manual_review", "manual_review"),
+    ("审核人签字核对", "x", "x", "x", "manual_review", "manual_review"),
+    ("成束阻燃性能", "P", "是否适用", "x", "manual_review", "manual_review"),
+    ("备注引用报告编号", "1", "确认是否适用", "x", "manual_review", "manual_review"),
+    ("低温弯曲", "1 h", "预冷4h", "x", "manual_review", "manual_review"),
+    ("低温拉伸", "30 min", "预冷", "x", "manual_review", "manual_review"),
+    ("外径", "P", "不要求", "x", "correction", "fail"),
+    ("标志", "1", "无需修改", "x", "correction", "fail"),
+    ("标志", "1", "应为 2", "规则库尚未解析", "correction", "fail"),
+    ("标志", "1", "", "需人工复核", None, "pass"),
+    ("标志", "未提供", "", "", None, "pass"),
+    ("成品电压", "击穿", "", "", None, "pass"),
+    ("绝缘最薄处厚度", "1", "", "", None, "pass"),
+    ("失重", "1", "", "", None, "pass"),
+    ("热延伸", "1", "", "", None, "pass"),
+    ("外径", "1", "", "", None, "pass"),
+]
+
+
+@registered("""SELECT l_orderkey % 16 AS kind, CASE l_orderkey % 16 WHEN 9 THEN 'manual_review' WHEN 10 THEN 'manual_review' WHEN 11 THEN 'manual_review' WHEN 12 THEN CASE WHEN l_linenumber = 7 THEN 'manual_review' WHEN l_discount > 0.05 THEN 'fail' ELSE 'pass' END
+WHEN 13 THEN CASE WHEN l_linenumber = 7 THEN 'manual_review' WHEN l_quantity > 2 THEN 'fail' ELSE 'pass' END WHEN 14 THEN CASE WHEN l_linenumber = 7 THEN 'manual_review' ELSE 'pass' END ELSE 'pass' END AS verdict, count(*) AS n FROM lineitem WHERE l_orderkey % 16 >= 9 GROUP BY 1, 2""")
+def review_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a check of one of sixteen kinds; nine kinds are withdrawn, six may change their verdict."""
+    kind = (F.col("l_orderkey") % 16).cast("int")
+    names = ("item", "reported", "should_be", "note", "action_type", "verdict")
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]).cast("string") for r in _REVIEWS]), kind + 1)
+    known = F.col("l_linenumber") != 7
+    checks = lines(spark, sf_dir).select(kind.cast("long").alias("kind"), *[pick(k).alias(n) for k, n in enumerate(names)], F.when(known, F.when(F.col("l_discount") > 0.05, -0.02).otherwise(0.0)).alias("margin"), F.when(known, F.col("l_quantity")).alias("measured"))
+    kept, _ = rulepack.apply_rule_pack(checks, packs.REVIEW_PACK)
+    return kept.groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+@registered("""WITH t(item, label, unit) AS (VALUES ('average_thickness', '护套平均厚度', 'mm'), ('minimum_thickness', '绝缘最薄处厚度', 'mm'), ('outer_diameter', '平均外径', 'mm'), ('tensile_strength', '抗张强度', 'N/mm2'), ('elongation', '断裂伸长率', '%'), ('loss_of_mass', '失重', 'mg/cm2'), ('indentation', '压痕深度', '%'), ('conductor_resistance', '导体电阻', 'Ω/km'), ('insulation_resistance', '绝缘电阻', 'MΩ·km'), ('hot_set', '热延伸', '%'))
+SELECT p_partkey, item, unit, CASE WHEN p_partkey % 3 = 0 THEN 7.5 END AS "limit", CASE WHEN p_partkey % 4 <> 0 THEN p_size || '.5,2.0' ELSE '' END AS nums, CASE WHEN p_partkey % 4 = 0 THEN 'unresolved' ELSE 'complete' END AS status FROM part CROSS JOIN t""")
+def report_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten lines a part, each with a label of its own, perhaps a limit, and two values or none."""
+    labels = ("护套平均厚度", "绝缘最薄处厚度", "平均外径", "抗张强度", "断裂伸长率", "失重", "压痕深度", "导体电阻", "绝缘电阻", "热延伸")
+    line = parts(spark, sf_dir).select("p_partkey", F.explode(F.array(*map(F.lit, labels))).alias("label"), F.concat(F.when(part_key() % 3 == 0, "≥ 7.5 ").otherwise(""), F.when(part_key() % 4 != 0, said(part_size(), ".5 / 2")).otherwise("无")).alias("rest"))
+    found = rulepack.extract_measurements(line.select("p_partkey", F.concat("label", F.lit("："), "rest").alias("line")), ["p_partkey"], "line", packs.MEASUREMENTS)
+    return found.select("p_partkey", "item", "unit", "limit", joined("values").alias("nums"), "status")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Brands as applications, their parts as candidates, and one requirement of most kinds."""
+    p = parts(spark, sf_dir)
+    cands = p.select("p_brand", part_key().alias("candidate"), part_size().cast("double").alias("section"), (part_key() % 4 + 1).cast("int").alias("cores"), F.when(part_key() % 2 == 0, "round").otherwise("flat").alias("shape"), said("m", part_key() % 3).alias("model_ref"), part_type().alias("series"), F.when(part_size() > 25, "90C").otherwise("70C").alias("temperature"), said("u", part_size() % 2).alias("subunit"), F.when(part_size() % 5 == 0, part_type()).alias("screening_group"), (part_key() % 3 == 0).alias("sheath"))
+    strings = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    need = lambda rid, kind, models=None, subunit=None, sheathed=None, values=None, section=None, cores=None: F.struct(F.lit(rid).alias("id"), F.lit(kind).alias("kind"), (strings(*models) if models else strings()).alias("models"), F.lit(subunit).cast("string").alias("subunit"), F.lit(sheathed).cast("boolean").alias("sheathed"), (strings(*values) if values else strings()).alias("values"), F.lit(section).cast("string").alias("section"), F.lit(cores).cast("string").alias("cores"), F.lit(True).alias("hard"))
+    rows = [
+        need("a", "per_model_section_endpoints", ["m1"]), need("b", "corner_pair", subunit="u1"), need("c", "unit_section_endpoints"), need("d", "temperature_presence", values=["70C", "90C"]),
+        need("e", "model_set_presence", ["m0", "m2"]), need("f", "exact_model_sample", ["m2"], section="actual_max"), need("g", "shape_pair", values=["round", "flat"]), need("h", "series_sheathed_presence"),
+        need("i", "screening_group_presence"), need("j", "unsheathed_representation"), need("k", "temperature_distribution", subunit="u0", values=["90C"]), need("l", "subunit_representation", subunit="u0"), need("m", "series_presence"),
+    ]
+    needs = p.select("p_brand").distinct().select("p_brand", F.explode(F.array(*rows)).alias("r")).select("p_brand", "r.*")
+    return needs, cands
+
+
+_CANDS = """c AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS section, p_partkey % 4 + 1 AS cores, CASE WHEN p_partkey % 2 = 0 THEN 'round' ELSE 'flat' END AS shape, 'm' || p_partkey % 3 AS model_ref, p_type AS series, CASE WHEN p_size > 25 THEN '90C' ELSE '70C' END AS temperature, 'u' || p_size % 2 AS subunit, CASE WHEN p_size % 5 = 0 THEN p_type END AS grp, p_partkey % 3 = 0 AS sheath FROM part)"""
+_TASKS = """t AS (SELECT p_brand, 'a:min' AS task, min(section) AS section, NULL::INT AS cores FROM c WHERE model_ref = 'm1' GROUP BY 1 UNION ALL SELECT p_brand, 'a:max', max(section), NULL FROM c WHERE model_ref = 'm1' GROUP BY 1
+UNION ALL SELECT p_brand, 'b:max-cores-min-section', min(section), max(cores) FROM c JOIN (SELECT p_brand, max(cores) AS x FROM c WHERE subunit = 'u1' GROUP BY 1) USING (p_brand) WHERE subunit = 'u1' AND cores = x GROUP BY 1
+UNION ALL SELECT p_brand, 'b:min-cores-max-section', max(section), min(cores) FROM c JOIN (SELECT p_brand, min(cores) AS x FROM c WHERE subunit = 'u1' GROUP BY 1) USING (p_brand) WHERE subunit = 'u1' AND cores = x GROUP BY 1
+UNION ALL SELECT p_brand, 'c:min', min(section), NULL FROM c GROUP BY 1 UNION ALL SELECT p_brand, 'c:max', max(section), NULL FROM c GROUP BY 1
+UNION ALL SELECT DISTINCT p_brand, k, NULL::DOUBLE, NULL::INT FROM c CROSS JOIN (VALUES ('d:70C'), ('d:90C'), ('g:round'), ('g:flat'), ('j:unsheathed')) AS v(k)
+UNION ALL SELECT DISTINCT p_brand, 'e:' || model_ref, NULL::DOUBLE, NULL::INT FROM c WHERE model_ref IN ('m0', 'm2') UNION ALL SELECT p_brand, 'f:m2', max(section), NULL FROM c WHERE model_ref = 'm2' GROUP BY 1
+UNION ALL SELECT DISTINCT p_brand, 'h:' || series, NULL::DOUBLE, NULL::INT FROM c WHERE sheath UNION ALL SELECT DISTINCT p_brand, 'i:' || grp, NULL::DOUBLE, NULL::INT FROM c WHERE grp IS NOT NULL
+UNION ALL SELECT DISTINCT p_brand, k, NULL::DOUBLE, NULL::INT FROM c CROSS JOIN (VALUES ('k:u0-90C'), ('l:representative')) AS v(k) WHERE subunit = 'u0' UNION ALL SELECT DISTINCT p_brand, 'm:' || series, NULL::DOUBLE, NULL::INT FROM c)"""
+
+
+@registered(f"WITH {_CANDS}, {_TASKS} SELECT * FROM t")
+def requirement_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needs, cands = _plan(spark, sf_dir)
+    return requirements.tasks(needs, cands, "p_brand").select("p_brand", "task", "section", "cores")
+
+
+@registered(f"""WITH {_CANDS}, {_TASKS}, q AS (SELECT section, row_number() OVER (ORDER BY section) AS r FROM (SELECT DISTINCT section FROM c)),
+x AS (SELECT t.p_brand, t.task, c.p_partkey, t.section AS ts, c.section AS cs, t.cores AS tc, c.cores AS cc, left(t.task, 1) AS k, split_part(t.task, ':', 2) AS v, c.* EXCLUDE (p_brand, p_partkey, section, cores), qt.r AS rt, qc.r AS rc FROM t JOIN c USING (p_brand) LEFT JOIN q AS qt ON qt.section = t.section LEFT JOIN q AS qc ON qc.section = c.section),
+m AS (SELECT * FROM x WHERE (ts IS NULL OR cs = ts OR (k NOT IN ('a', 'f') AND cs <= 10 AND ts <= 10 AND abs(rt - rc) = 1)) AND (tc IS NULL OR cc = tc OR abs(cc - tc) = 1)
+ AND CASE k WHEN 'a' THEN model_ref = 'm1' WHEN 'd' THEN temperature = v WHEN 'e' THEN model_ref = v WHEN 'f' THEN model_ref = v WHEN 'g' THEN shape = v WHEN 'h' THEN series = v AND sheath WHEN 'i' THEN coalesce(grp = v, false) WHEN 'j' THEN NOT sheath WHEN 'k' THEN subunit = 'u0' AND temperature = '90C' WHEN 'l' THEN subunit = 'u0' WHEN 'm' THEN series = v ELSE true END)
+SELECT p_brand, task, count(*) AS candidates, sum(CASE WHEN ts IS NOT NULL AND cs <> ts THEN CASE WHEN k = 'b' THEN 4 ELSE 2 END ELSE 0 END + CASE WHEN tc IS NOT NULL AND cc <> tc THEN CASE WHEN k = 'b' THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS cost FROM m GROUP BY 1, 2""")
+def requirement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needs, cands = _plan(spark, sf_dir)
+    sequence = sampling.ranked_sequence(cands.select("section", F.lit(1).alias("one")), ["one"], "section").drop("one")
+    done = requirements.pairs(requirements.tasks(needs, cands, "p_brand"), cands, "p_brand", sequence)
+    return done.groupBy("p_brand", "task").agg(F.count("*").alias("candidates"), F.sum("cost").alias("cost"))
+
+
+_CONDITIONS = {"model_applied": "string", "all_models": "array<string>", "any_models": "array<string>", "subunit_applied": "string", "subunits_applied": "array<string>", "none_subunits_applied": "array<string>", "unit_applied": "string", "any_standard_family": "string", "any_temperature_class": "string", "any_unsheathed_model": "boolean", "any_sheathed_model": "boolean", "any_screened_model": "boolean", "series_contains_sheathed_model": "boolean", "series_applied": "array<string>", "contains_both": "array<string>"}
+
+
+@registered("""WITH f AS (SELECT p_brand || '/' || floor(p_size / 10)::INT AS app, list(DISTINCT 'm' || p_partkey % 5) AS refs, list(DISTINCT 'u' || p_size % 3) AS subs, list(DISTINCT p_type) AS ser, bool_or(p_size > 25) AS hot, bool_or(p_partkey % 3 = 0) AS sheathed, bool_or(p_partkey % 3 <> 0) AS bare, bool_or(p_size % 5 = 0) AS screened FROM part GROUP BY 1)
+SELECT app, id FROM f JOIN (VALUES ('model'), ('all'), ('any'), ('sub'), ('subs'), ('none'), ('family'), ('temp'), ('bare'), ('sheathed'), ('screened'), ('series'), ('both'), ('free'), ('held')) AS v(id) ON CASE id WHEN 'model' THEN list_contains(refs, 'm1') WHEN 'all' THEN list_contains(refs, 'm1') AND list_contains(refs, 'm2') WHEN 'any' THEN list_contains(refs, 'm3') OR list_contains(refs, 'm9')
+ WHEN 'sub' THEN list_contains(subs, 'u1') WHEN 'subs' THEN list_contains(subs, 'u0') AND list_contains(subs, 'u2') WHEN 'none' THEN NOT list_contains(subs, 'u2') WHEN 'family' THEN list_contains(ser, 'PROMO') WHEN 'temp' THEN hot WHEN 'bare' THEN bare WHEN 'sheathed' THEN sheathed WHEN 'screened' THEN screened WHEN 'series' THEN list_contains(ser, 'SMALL') OR list_contains(ser, 'x') WHEN 'both' THEN sheathed AND bare WHEN 'free' THEN true ELSE false END""")
+def requirement_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen requirements, each with a condition of its own, over brands by size class as applications."""
+    flexible = F.when(part_key() % 3 == 0, "soft").otherwise("stiff")
+    models = parts(spark, sf_dir).select(F.concat_ws("/", "p_brand", F.floor(part_size() / 10).cast("string")).alias("app"), F.lit("07").alias("unit"), said("m", part_key() % 5).alias("model_ref"), said("u", part_size() % 3).alias("subunit"), part_type().alias("series"), F.when(part_size() > 25, "90C").otherwise("70C").alias("temperature"), (part_key() % 3 == 0).alias("sheath"), F.when(part_size() % 5 == 0, "g").alias("screening_group"), F.lit("copper").alias("conductor"), flexible.alias("flexibility"), F.lit(None).cast("string").alias("shape"))
+    rows = [("model", {"model_applied": "m1"}), ("all", {"all_models": ["m1", "m2"]}), ("any", {"any_models": ["m3", "m9"]}), ("sub", {"subunit_applied": "u1"}), ("subs", {"subunits_applied": ["u0", "u2"]}), ("none", {"none_subunits_applied": ["u2"]}), ("family", {"any_standard_family": "PROMO"}), ("temp", {"any_temperature_class": "90C"}), ("bare", {"any_unsheathed_model": True}), ("sheathed", {"any_sheathed_model": True}), ("screened", {"any_screened_model": True}), ("series", {"series_applied": ["SMALL", "x"]}), ("both", {"contains_both": ["soft", "stiff"]}), ("free", {"unit_applied": "7"}), ("held", {})]
+    schema = "id string, unit string, status string, when struct<" + ", ".join(f"{n}: {t}" for n, t in _CONDITIONS.items()) + ">"
+    needs = spark.createDataFrame([(i, "07", "retired" if i == "held" else "enabled", tuple(w.get(n) for n in _CONDITIONS)) for i, w in rows], schema)
+    return requirements.applicable(needs, models, "app").select("app", "id")
+
+
+@registered("""WITH s AS (SELECT p_brand, p_partkey, p_size, p_size % 3 = 0 AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+SELECT p_brand, string_agg(n || '. ' || CASE WHEN a THEN '任意规格一件' ELSE '3×' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '.5' ELSE '' END || 'mm²' END || ' 圆形' || CASE WHEN p_brand < 'Brand#3' AND n = 1 THEN ' 白色' WHEN p_brand < 'Brand#3' AND n = 2 THEN ' 黑色' ELSE '' END, chr(10) ORDER BY n) AS text FROM s GROUP BY 1""")
+def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a brand's samples; some brands need a pair of colours, and sizes that three divides are free."""
+    samples = parts(spark, sf_dir).select("p_brand", part_key().alias("candidate"), part_size().alias("size"))
+    every = samples.select("p_brand", F.col("candidate").cast("string").alias("task"), "candidate")
+    targets = samples.select("p_brand", F.col("candidate").cast("string").alias("task"), F.when(F.col("size") % 3 != 0, F.col("size")).alias("section"), F.lit(None).cast("int").alias("cores"), F.lit(None).cast("string").alias("shape"))
+    free = requirements.relaxed(every, targets, "p_brand")
+    rows = requirements.with_color_pair(samples.join(free, ["p_brand", "candidate"]), samples.filter("p_brand < 'Brand#3'"), "p_brand", "candidate")
+    section = F.col("size") + F.when(F.col("candidate") % 2 == 0, F.lit(0.5)).otherwise(0)
+    return requirements.copy_text(rows, "p_brand", "candidate", requirements.spec_text(section, F.lit(3), F.lit("round"), F.col("color"), F.col("any_spec")))
+
+
+@registered("""SELECT p_partkey, c AS category, 2 AS total, CASE WHEN c = '绝缘' THEN 1 ELSE 0 END AS filed, CASE WHEN c = '绝缘' THEN '乙' || p_size || ',甲' ELSE '丁' || p_size || ',丙' END AS brands, c = '护套' AND p_partkey % 2 = 0 AS needs_review FROM part CROSS JOIN (VALUES ('绝缘'), ('护套')) AS v(c)""")
+def material_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = said("绝缘：甲√(CQC-", part_key() + 1000, ")、乙", part_size(), "；护套: 丙", F.when(part_key() % 2 == 0, "√").otherwise(""), "，丁", part_size())
+    return requirements.material_groups(parts(spark, sf_dir).select("p_partkey", text.alias("t")), "p_partkey", "t").withColumn("brands", joined("brands"))
