@@ -218,15 +218,6 @@ def version_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.labelled(versions.activated(marked, F.col("o_orderkey") == F.col("top")), "o_custkey", "o_orderkey").select("o_orderkey", "version_no", "status", "position")
 
 
-@registered("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
-p AS (SELECT conv_id, turn, n, size, size AS used, 0 AS batch FROM o WHERE n = 1 UNION ALL
-SELECT o.conv_id, o.turn, o.n, o.size, CASE WHEN used > 0 AND used + o.size > 1200 THEN o.size ELSE used + o.size END, CASE WHEN used > 0 AND used + o.size > 1200 THEN batch + 1 ELSE batch END FROM p JOIN o ON o.conv_id = p.conv_id AND o.n = p.n + 1)
-SELECT conv_id, turn, size::BIGINT AS size, batch::BIGINT AS batch FROM p""")
-def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("size"))
-    return segments.packed(turns, "conv_id", "turn", "size", 1200)
-
-
 @registered("""SELECT p_partkey, n AS line, CASE n WHEN 0 THEN 'a b' || chr(9) || p_type ELSE 'z' || p_size END AS text FROM part CROSS JOIN (VALUES (0), (1)) AS v(n)""")
 def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words: three within a line's height, of which the last stands apart, and one below."""

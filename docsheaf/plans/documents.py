@@ -207,6 +207,12 @@ def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.packed(turns, "conv_id", "turn", "size", 1200)
 
 
+SQL["budget_packing"] = """WITH RECURSIVE o AS (SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+p AS (SELECT conv_id, turn, n, size, size AS used, 0::BIGINT AS batch FROM o WHERE n = 1 UNION ALL
+SELECT o.conv_id, o.turn, o.n, o.size, CASE WHEN used > 0 AND used + o.size > 1200 THEN o.size ELSE used + o.size END, CASE WHEN used > 0 AND used + o.size > 1200 THEN batch + 1 ELSE batch END FROM p JOIN o ON o.conv_id = p.conv_id AND o.n = p.n + 1)
+SELECT conv_id, turn, size, batch FROM p"""
+
+
 def html_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cells(table(spark, sf_dir, "pages"), ["page_id"], "html")
 

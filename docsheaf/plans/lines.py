@@ -265,6 +265,10 @@ def display_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count_if(ok).alias("possible"), F.count("*").alias("n"))
 
 
+SQL["display_intervals"] = """WITH d AS (SELECT l_linenumber, round(l_extendedprice::DECIMAL(18, 2), 1)::DOUBLE AS b, round((l_extendedprice * (1 + l_tax))::DECIMAL(18, 6), 1)::DOUBLE AS a FROM lineitem)
+SELECT l_linenumber, count(*) FILTER (b - 0.05 > 0 AND ((a - 0.05) / (b + 0.05) - 1) * 100 <= l_linenumber + 0.5 AND ((a + 0.05) / (b - 0.05) - 1) * 100 >= l_linenumber - 0.5) AS possible, count(*) AS n FROM d GROUP BY 1"""
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size").cast("double")).alias("sizes"), F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"), F.collect_set(F.when(F.col("p_type").isin("SMALL", "LARGE"), F.col("p_type"))).alias("shapes"))
     listed = F.when(F.col("p_brand") < "Brand#2", F.col("sizes"))

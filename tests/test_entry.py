@@ -2,8 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docsheaf.plans import checks, reviews, texts
 
-SMALL = "doc_category_distribution longest_name_match redact_text list_item_records report_list_page version_append_guards rule_tree_counts condition_tree_eval verdict_consensus rule_pack task_feasibility spec_facts".split()
+SMALL = "doc_category_distribution longest_name_match redact_text list_item_records report_list_page version_append_guards rule_tree_counts condition_tree_eval verdict_consensus rule_pack task_feasibility spec_facts login_lockout display_intervals budget_packing".split()
+SMALL += [*texts.QUERIES, *reviews.QUERIES, *checks.QUERIES]
 
 
 def test_entry(spark):
