@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
+from docsheaf.functions import reports as R
 from docsheaf.functions import scopes
-from docsheaf.operators import evidence, governance, listing, matching, packs, privacy, requirements, rulepack, sampling, segments, summaries, verdicts, versions
+from docsheaf.operators import evidence, governance, listing, matching, observations, packs, privacy, requirements, rulepack, sampling, segments, summaries, verdicts, versions
 from docsheaf.plans.reviews import lines, orders
 from docsheaf.plans.tables import table
 from docsheaf.plans.texts import part_key, part_size, part_type, parts, said
@@ -479,3 +480,67 @@ def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def material_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = said("绝缘：甲√(CQC-", part_key() + 1000, ")、乙", part_size(), "；护套: 丙", F.when(part_key() % 2 == 0, "√").otherwise(""), "，丁", part_size())
     return requirements.material_groups(parts(spark, sf_dir).select("p_partkey", text.alias("t")), "p_partkey", "t").withColumn("brands", joined("brands"))
+
+
+def _boxes(*rows: tuple[Column | str, float, float, float]) -> Column:
+    return F.explode(F.array(*[F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), *[F.lit(float(v)).alias(n) for n, v in (("left", x), ("right", x + 10), ("top", y))]) for t, x, y in rows])).alias("b")
+
+
+@registered("""SELECT p_partkey, n::BIGINT AS row, CASE n WHEN 1 THEN '厚度' ELSE '外径' END AS item, CASE n WHEN 1 THEN p_size || '.5' WHEN 2 THEN CASE WHEN p_partkey % 3 = 1 THEN least('7', p_size::VARCHAR) ELSE p_size::VARCHAR END END AS result, CASE WHEN n = 2 AND p_partkey % 3 = 1 THEN 'several_values' END AS reason FROM part CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE p_partkey % 3 < 2
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, 'header_not_unique' FROM part WHERE p_partkey % 3 = 2""")
+def coordinate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of boxes: a header, two rows, in every third a second value, in every third two headers."""
+    size = part_size().cast("string")
+    base = [("项 目", 0, 0), ("结果", 50, 1), ("厚度", 2, 20), (said(size, ".5"), 48, 22), ("外径", 1, 40), (size, 52, 41)]
+    page = parts(spark, sf_dir).select("p_partkey", _boxes(*base)).select("p_partkey", "b.*")
+    more = parts(spark, sf_dir).select("p_partkey", _boxes(("7", 40, 42))).filter("p_partkey % 3 = 1").select("p_partkey", "b.*")
+    again = parts(spark, sf_dir).select("p_partkey", _boxes(("结果", 80, 0))).filter("p_partkey % 3 = 2").select("p_partkey", "b.*")
+    rows = observations.coordinate_rows(page.unionByName(more).unionByName(again), ["p_partkey"], {"item": ["项目"], "result": ["结果"]})
+    return rows.select("p_partkey", "row", "item", "result", "reason")
+
+
+@registered("""SELECT p_partkey, 'depth' AS item, CASE WHEN p_partkey % 4 = 0 THEN p_size || '.5' END AS value, CASE p_partkey % 4 WHEN 1 THEN 'no_value' WHEN 2 THEN 'several_values' WHEN 3 THEN 'label_not_unique' END AS reason, 'As:' || p_size || ',Sb:2' AS elements FROM part""")
+def box_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = said(part_size(), ".5")
+    kinds = {0: [("压痕深度", 0, 0), (value, 30, 2), ("9", 30, 50)], 1: [("压痕深度", 0, 0), ("无", 30, 0)], 2: [("压痕深度", 0, 0), (value, 30, 0), ("8", 60, 1)], 3: [("压痕深度", 0, 0), ("压痕深度", 0, 90), (value, 30, 0)]}
+    pages = [parts(spark, sf_dir).filter(f"p_partkey % 4 = {k}").select("p_partkey", _boxes(*rows)).select("p_partkey", "b.*") for k, rows in kinds.items()]
+    boxes = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    seen = observations.labelled_boxes(boxes, ["p_partkey"], {"depth": "压痕深度"}, r"\d+(?:\.\d+)?")
+    html = said("<table><tr><td>元素</td><td>S1</td></tr><tr><td>As</td><td>", part_size(), "</td></tr><tr><td>x</td><td>1</td></tr><tr><td>Sb</td><td>2</td></tr></table>")
+    grid = files.cells(parts(spark, sf_dir).select("p_partkey", html.alias("html")), ["p_partkey"], "html")
+    rows = observations.element_rows(grid, ["p_partkey"], ["As", "Sb"]).filter("specimen = 'S1' and element <> value")
+    return seen.join(rows.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "element", "value"))), ",").alias("elements")), "p_partkey")
+
+
+@registered("""WITH d AS (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1, 2)
+SELECT p_partkey, CASE WHEN n = 1 THEN k END AS looked_up, p_partkey % 3 <> 2 AS same, p_type || ',ab' || p_size AS kept, CASE WHEN p_partkey % 2 = 0 THEN '2' ELSE '' END AS wrong FROM part LEFT JOIN d USING (p_brand, p_size)""")
+def issue_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimension = parts(spark, sf_dir).select("p_brand", "p_size", part_key().alias("looked_up"))
+    rows = observations.looked_up(parts(spark, sf_dir), dimension, ["p_brand", "p_size"], ["looked_up"])
+    left = F.when(part_key() % 3 == 0, "绝缘失重").when(part_key() % 3 == 1, "标志（内容）").otherwise("绝缘失重")
+    right = F.when(part_key() % 3 == 0, "绝缘失重试验").when(part_key() % 3 == 1, "标志").otherwise("护套失重")
+    same = observations.same_issue(R.item_concept(left), R.item_concept(right), left, right)
+    values = F.array(said(" ", part_type(), "："), F.lit("[企业名称已脱敏]"), F.lit("x"), said("a b", part_size(), "|"), part_type())
+    wrong = observations.change_consistent(F.array(F.lit("10.0"), F.lit("10.0")), F.array(F.lit("8.5"), F.lit("8.5")), F.array(F.lit("-15"), F.when(part_key() % 2 == 0, "-20").otherwise("-15")))
+    return rows.select("p_partkey", "looked_up", same.alias("same"), joined(observations.unique_values(values)).alias("kept"), joined(wrong).alias("wrong"))
+
+
+@registered("""WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, min(l_linenumber) AS p FROM lineitem WHERE l_tax > 0.02 GROUP BY 1, 2, 3, 4), e AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
+x AS (SELECT l_orderkey, count(*) AS errors FROM (SELECT o_orderkey AS l_orderkey FROM orders CROSS JOIN (VALUES (1), (2)) AS v(k) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.l_orderkey = o_orderkey AND e.l_linenumber = k) UNION ALL SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(DISTINCT l_linenumber) > 1) GROUP BY 1)
+SELECT o_orderkey, (SELECT count(*) FROM l WHERE l.l_orderkey = o_orderkey) AS issues, coalesce(x.errors, 0) AS errors, CASE WHEN o_orderstatus = 'F' THEN (SELECT max(l_shipdate) FROM lineitem AS i WHERE i.l_orderkey = o_orderkey AND l_returnflag = 'R') END AS completed_at FROM orders LEFT JOIN x ON x.l_orderkey = o_orderkey""")
+def report_issue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("reported"), F.col("l_returnflag").alias("should_be"), (F.col("l_tax") > 0.02).alias("action_required"))
+    issues = observations.all_issues(rows.filter("pos <= 2"), rows.filter("pos > 2"), rows.columns).groupBy("report_id").agg(F.count("*").alias("issues"))
+    expected = orders(spark, sf_dir).select(F.col("o_orderkey").alias("report_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("token"))
+    taken = lines(spark, sf_dir).select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("token"), F.col("l_suppkey").alias("slot"))
+    errors = observations.assignment_errors(expected, taken, ["report_id"], "token", "slot").groupBy("report_id").agg(F.count("*").alias("errors"))
+    reports = orders(spark, sf_dir).select(F.col("o_orderkey").alias("report_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("status"))
+    tasks = lines(spark, sf_dir).select(F.col("l_orderkey").alias("report_id"), F.when(F.col("l_returnflag") == "R", "done").otherwise("failed").alias("task_status"), "l_shipdate")
+    done = observations.review_completed(reports, tasks, "report_id", "status", "l_shipdate")
+    return done.join(issues, "report_id", "left").join(errors, "report_id", "left").fillna(0, ["issues", "errors"]).select(F.col("report_id").alias("o_orderkey"), "issues", "errors", "completed_at")
+
+
+@registered("""SELECT c_custkey, o_orderkey AS change_id, CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) ELSE 1 END AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
+def rule_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("changed_at"))
+    return observations.change_log(table(spark, sf_dir, "customer").select("c_custkey"), log, "c_custkey").select("c_custkey", "change_id", F.col("n").cast("long").alias("n"))
