@@ -68,6 +68,24 @@ def released(docs: DataFrame, text: str = "text", patterns: Sequence[Pattern] =
     return df.withColumns({"released": ok, "sha256": F.sha2("__clean", 256), "size": F.length("__clean"), text: F.when(ok, F.col("__clean"))}).drop("__clean")
 
 
+def preflight(docs: DataFrame, text: str, identifiers: dict[str, str], patterns: Sequence[Pattern] = DEFAULT) -> DataFrame:
+    """Checks that each kind of identifier is one throughout, appends what is not, redacts all of it, and scans what would go out.
+
+    Adds logic_checks (item, result, note), findings, blocked, and text as it may go out: NULL where it is blocked.
+    """
+    own = F.coalesce(F.col(text), F.lit(""))
+
+    def check(item: str, pattern: str) -> Column:
+        ids = F.array_distinct(F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(0)), lambda v: F.upper(F.regexp_replace(v, r"[\s/_-]+", ""))))
+        one = F.size(ids) == 1
+        return F.when(F.size(ids) > 0, F.struct(F.lit(item).alias("item"), F.when(one, "pass").otherwise("warning").alias("result"), F.when(one, "一致").otherwise("识别到多个不同编号，需人工核对").alias("note")))
+
+    df = docs.withColumn("logic_checks", F.array_compact(F.array(*[check(i, p) for i, p in identifiers.items()])))
+    told = F.array_join(F.transform(F.filter("logic_checks", lambda c: c["result"] != "pass"), lambda c: F.concat_ws(": ", c["item"], c["note"])), "；")
+    df = df.withColumn("__clean", redacted(F.concat_ws("\n", own, F.nullif(told, F.lit(""))), patterns)).withColumn("findings", residual(F.col("__clean"), patterns))
+    return df.withColumn("blocked", F.size("findings") > 0).withColumn(text, F.when(~F.col("blocked"), F.col("__clean"))).drop("__clean")
+
+
 def id_consistency(rows: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """Per key: whether all identifiers found are one after normalisation; keys without any are absent."""
     ids = rows.select(*keys, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))).alias("id"))

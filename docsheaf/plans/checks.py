@@ -544,3 +544,12 @@ def report_issue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("changed_at"))
     return observations.change_log(table(spark, sf_dir, "customer").select("c_custkey"), log, "c_custkey").select("c_custkey", "change_id", F.col("n").cast("long").alias("n"))
+
+
+@registered("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'warning' ELSE 'pass' END AS result, CASE WHEN p_partkey % 4 <> 3 THEN CASE WHEN p_partkey % 3 = 0 THEN 'no AB-' || p_size || ', [email], ab ' || p_size || ' AB-' || p_size || '0' || chr(10) || '编号一致性: 识别到多个不同编号，需人工核对' ELSE 'no AB-' || p_size || ', [email], ab ' || p_size END END AS text, p_partkey % 4 = 3 AS blocked FROM part""")
+def release_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spellings of a number, for every third part another number; a secret that has no placeholder blocks a text."""
+    odd = privacy.Pattern("odd", "~+", "~")
+    text = said("no AB-", part_size(), ", a@x.org, ab ", part_size(), F.when(part_key() % 3 == 0, said(" AB-", part_size(), "0")).otherwise(""), F.when(part_key() % 4 == 3, " ~~").otherwise(""))
+    rows = privacy.preflight(parts(spark, sf_dir).select("p_partkey", text.alias("text")), "text", {"编号一致性": r"(?i)AB[- ]\d+", "other": "CD-\\d+"}, [*privacy.DEFAULT, odd])
+    return rows.select("p_partkey", F.get("logic_checks", F.lit(0))["result"].alias("result"), "text", "blocked")
