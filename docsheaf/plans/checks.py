@@ -228,13 +228,13 @@ def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.text_lines(page, ["p_partkey"])
 
 
-@registered("""SELECT p_partkey, 0 AS first_row, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS last_row, 2 AS columns FROM part""")
+@registered("""SELECT p_partkey, 0 AS first_row, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS last_row, 2 AS n_columns FROM part""")
 def column_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rows of two cells; in every other page the last is shifted by more than a fifth of the gap."""
     row = lambda n, shift: F.struct(F.lit(n).alias("row"), F.array(F.lit(10.0), F.lit(60.0) + shift).alias("xs"))
     shift = F.when(part_key() % 2 == 0, 5.0).otherwise(15.0)
     cells = parts(spark, sf_dir).select("p_partkey", F.explode(F.array(*[row(n, F.lit(0.0) if n < 3 else shift) for n in range(4)])).alias("r")).select("p_partkey", "r.*")
-    return evidence.column_clusters(cells, ["p_partkey"]).select("p_partkey", "first_row", "last_row", "columns")
+    return evidence.column_clusters(cells, ["p_partkey"]).select("p_partkey", "first_row", "last_row", F.col("columns").alias("n_columns"))
 
 
 @registered("""SELECT o_orderkey, concat_ws(',', CASE WHEN NOT n1 THEN '1' END, CASE WHEN NOT n3 THEN '3' END) AS lacking, n1 AND n3 AS stands
@@ -269,14 +269,14 @@ def text_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.with_clauses(df, "t", "绝缘").drop("t").withColumn("clauses", joined("clauses"))
 
 
-@registered("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR END AS value, CASE WHEN p_partkey % 3 = 0 THEN '12.5' END AS "limit", CASE p_partkey % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete' ELSE 'ambiguous' END AS status FROM part""")
+@registered("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR END AS value, CASE WHEN p_partkey % 3 = 0 THEN '12.5' END AS bound, CASE p_partkey % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete' ELSE 'ambiguous' END AS status FROM part""")
 def consecutive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = ["抗张强度", "N/mm2", "≥", "12.5"]
     one = F.array(*map(F.lit, record), part_size().cast("string"), F.lit("P"))
     rows = F.when(part_key() % 3 == 0, one).when(part_key() % 3 == 1, F.array(*map(F.lit, [*record, "n/a", "P"]))).otherwise(F.concat(one, one))
     page = parts(spark, sf_dir).select("p_partkey", F.posexplode(rows).alias("pos", "line"))
     labels = spark.createDataFrame([("抗张强度", "N/mm2", "≥")], "label string, unit string, marker string")
-    return evidence.vertical_records(page, ["p_partkey"], "pos", labels).select("p_partkey", "value", "limit", "status").distinct()
+    return evidence.vertical_records(page, ["p_partkey"], "pos", labels).select("p_partkey", "value", F.col("limit").alias("bound"), "status").distinct()
 
 
 @registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'name_differs' WHEN o_orderkey % 4 = 2 THEN 'no_status' WHEN o_orderkey % 4 = 3 THEN 'host_not_allowed' END AS reason, CASE WHEN o_orderkey % 2 = 0 THEN 'b=' || o_custkey || '; c=x' ELSE 'c=x' END AS rule_text FROM orders""")
@@ -394,13 +394,13 @@ def review_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""WITH t(item, label, unit) AS (VALUES ('average_thickness', '护套平均厚度', 'mm'), ('minimum_thickness', '绝缘最薄处厚度', 'mm'), ('outer_diameter', '平均外径', 'mm'), ('tensile_strength', '抗张强度', 'N/mm2'), ('elongation', '断裂伸长率', '%'), ('loss_of_mass', '失重', 'mg/cm2'), ('indentation', '压痕深度', '%'), ('conductor_resistance', '导体电阻', 'Ω/km'), ('insulation_resistance', '绝缘电阻', 'MΩ·km'), ('hot_set', '热延伸', '%'))
-SELECT p_partkey, item, unit, CASE WHEN p_partkey % 3 = 0 THEN 7.5 END AS "limit", CASE WHEN p_partkey % 4 <> 0 THEN p_size || '.5,2.0' ELSE '' END AS nums, CASE WHEN p_partkey % 4 = 0 THEN 'unresolved' ELSE 'complete' END AS status FROM part CROSS JOIN t""")
+SELECT p_partkey, item, unit, CASE WHEN p_partkey % 3 = 0 THEN 7.5::DOUBLE END AS bound, CASE WHEN p_partkey % 4 <> 0 THEN p_size || '.5,2.0' ELSE '' END AS nums, CASE WHEN p_partkey % 4 = 0 THEN 'unresolved' ELSE 'complete' END AS status FROM part CROSS JOIN t""")
 def report_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten lines a part, each with a label of its own, perhaps a limit, and two values or none."""
     labels = ("护套平均厚度", "绝缘最薄处厚度", "平均外径", "抗张强度", "断裂伸长率", "失重", "压痕深度", "导体电阻", "绝缘电阻", "热延伸")
     line = parts(spark, sf_dir).select("p_partkey", F.explode(F.array(*map(F.lit, labels))).alias("label"), F.concat(F.when(part_key() % 3 == 0, "≥ 7.5 ").otherwise(""), F.when(part_key() % 4 != 0, said(part_size(), ".5 / 2")).otherwise("无")).alias("rest"))
     found = rulepack.extract_measurements(line.select("p_partkey", F.concat("label", F.lit("："), "rest").alias("line")), ["p_partkey"], "line", packs.MEASUREMENTS)
-    return found.select("p_partkey", "item", "unit", "limit", joined("values").alias("nums"), "status")
+    return found.select("p_partkey", "item", "unit", F.col("limit").alias("bound"), joined("values").alias("nums"), "status")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -486,7 +486,7 @@ def _boxes(*rows: tuple[Column | str, float, float, float]) -> Column:
     return F.explode(F.array(*[F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), *[F.lit(float(v)).alias(n) for n, v in (("left", x), ("right", x + 10), ("top", y))]) for t, x, y in rows])).alias("b")
 
 
-@registered("""SELECT p_partkey, n::BIGINT AS row, CASE n WHEN 1 THEN '厚度' ELSE '外径' END AS item, CASE n WHEN 1 THEN p_size || '.5' WHEN 2 THEN CASE WHEN p_partkey % 3 = 1 THEN least('7', p_size::VARCHAR) ELSE p_size::VARCHAR END END AS result, CASE WHEN n = 2 AND p_partkey % 3 = 1 THEN 'several_values' END AS reason FROM part CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE p_partkey % 3 < 2
+@registered("""SELECT p_partkey, n::BIGINT AS row_no, CASE n WHEN 1 THEN '厚度' ELSE '外径' END AS item, CASE n WHEN 1 THEN p_size || '.5' WHEN 2 THEN CASE WHEN p_partkey % 3 = 1 THEN least('7', p_size::VARCHAR) ELSE p_size::VARCHAR END END AS result, CASE WHEN n = 2 AND p_partkey % 3 = 1 THEN 'several_values' END AS reason FROM part CROSS JOIN (VALUES (1), (2)) AS v(n) WHERE p_partkey % 3 < 2
 UNION ALL SELECT p_partkey, NULL, NULL, NULL, 'header_not_unique' FROM part WHERE p_partkey % 3 = 2""")
 def coordinate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of boxes: a header, two rows, in every third a second value, in every third two headers."""
@@ -496,7 +496,7 @@ def coordinate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = parts(spark, sf_dir).select("p_partkey", _boxes(("7", 40, 42))).filter("p_partkey % 3 = 1").select("p_partkey", "b.*")
     again = parts(spark, sf_dir).select("p_partkey", _boxes(("结果", 80, 0))).filter("p_partkey % 3 = 2").select("p_partkey", "b.*")
     rows = observations.coordinate_rows(page.unionByName(more).unionByName(again), ["p_partkey"], {"item": ["项目"], "result": ["结果"]})
-    return rows.select("p_partkey", "row", "item", "result", "reason")
+    return rows.select("p_partkey", F.col("row").alias("row_no"), "item", "result", "reason")
 
 
 @registered("""SELECT p_partkey, 'depth' AS item, CASE WHEN p_partkey % 4 = 0 THEN p_size || '.5' END AS value, CASE p_partkey % 4 WHEN 1 THEN 'no_value' WHEN 2 THEN 'several_values' WHEN 3 THEN 'label_not_unique' END AS reason, 'As:' || p_size || ',Sb:2' AS elements FROM part""")

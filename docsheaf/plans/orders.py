@@ -218,14 +218,14 @@ SELECT o_custkey, l_returnflag, l_linenumber, CASE WHEN count(*) = 2 THEN 'unres
 
 def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("failed"))
-    return intake.lock_outs_batch(events, limit=2, minutes=60)
+    return intake.lock_outs_batch(events, limit=2, minutes=60).withColumnRenamed("at", "locked_at")
 
 
 SQL["login_lockout"] = """WITH RECURSIVE e AS (SELECT user_id, ts::TIMESTAMP AS at, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS n FROM events),
 s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::TIMESTAMP AS at, 0 AS fails, NULL::TIMESTAMP AS until, false AS hit FROM events UNION ALL
 SELECT s.user_id, e.n, e.at, CASE WHEN coalesce(e.at < s.until, false) THEN s.fails WHEN e.failed AND s.fails < 1 THEN 1 ELSE 0 END,
  CASE WHEN coalesce(e.at < s.until, false) THEN s.until WHEN e.failed AND s.fails = 1 THEN e.at + INTERVAL 60 MINUTE END, NOT coalesce(e.at < s.until, false) AND e.failed AND s.fails = 1 FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
-SELECT user_id, "at", until FROM s WHERE hit"""
+SELECT user_id, "at" AS locked_at, until FROM s WHERE hit"""
 
 
 def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
