@@ -219,7 +219,7 @@ def version_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.labelled(versions.activated(marked, F.col("o_orderkey") == F.col("top")), "o_custkey", "o_orderkey").select("o_orderkey", "version_no", "status", "position")
 
 
-@registered("""SELECT p_partkey, n AS line, CASE n WHEN 0 THEN 'a b' || chr(9) || p_type ELSE 'z' || p_size END AS text FROM part CROSS JOIN (VALUES (0), (1)) AS v(n)""")
+@registered("""SELECT p_partkey, n::BIGINT AS line, CASE n WHEN 0 THEN 'a b' || chr(9) || p_type ELSE 'z' || p_size END AS text FROM part CROSS JOIN (VALUES (0), (1)) AS v(n)""")
 def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words: three within a line's height, of which the last stands apart, and one below."""
     word = lambda text, top, left, right: F.struct(text.alias("text"), F.lit(float(top)).alias("top"), F.lit(float(left)).alias("left"), F.lit(float(right)).alias("right"))
@@ -228,7 +228,7 @@ def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.text_lines(page, ["p_partkey"])
 
 
-@registered("""SELECT p_partkey, 0 AS first_row, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS last_row, 2 AS n_columns FROM part""")
+@registered("""SELECT p_partkey, 0::BIGINT AS first_row, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS last_row, 2::BIGINT AS n_columns FROM part""")
 def column_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rows of two cells; in every other page the last is shifted by more than a fifth of the gap."""
     row = lambda n, shift: F.struct(F.lit(n).alias("row"), F.array(F.lit(10.0), F.lit(60.0) + shift).alias("xs"))
@@ -418,7 +418,7 @@ def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return needs, cands
 
 
-_CANDS = """c AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS section, p_partkey % 4 + 1 AS cores, CASE WHEN p_partkey % 2 = 0 THEN 'round' ELSE 'flat' END AS shape, 'm' || p_partkey % 3 AS model_ref, p_type AS series, CASE WHEN p_size > 25 THEN '90C' ELSE '70C' END AS temperature, 'u' || p_size % 2 AS subunit, CASE WHEN p_size % 5 = 0 THEN p_type END AS grp, p_partkey % 3 = 0 AS sheath FROM part)"""
+_CANDS = """c AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS section, (p_partkey % 4 + 1)::INT AS cores, CASE WHEN p_partkey % 2 = 0 THEN 'round' ELSE 'flat' END AS shape, 'm' || p_partkey % 3 AS model_ref, p_type AS series, CASE WHEN p_size > 25 THEN '90C' ELSE '70C' END AS temperature, 'u' || p_size % 2 AS subunit, CASE WHEN p_size % 5 = 0 THEN p_type END AS grp, p_partkey % 3 = 0 AS sheath FROM part)"""
 _TASKS = """t AS (SELECT p_brand, 'a:min' AS task, min(section) AS section, NULL::INT AS cores FROM c WHERE model_ref = 'm1' GROUP BY 1 UNION ALL SELECT p_brand, 'a:max', max(section), NULL FROM c WHERE model_ref = 'm1' GROUP BY 1
 UNION ALL SELECT p_brand, 'b:max-cores-min-section', min(section), max(cores) FROM c JOIN (SELECT p_brand, max(cores) AS x FROM c WHERE subunit = 'u1' GROUP BY 1) USING (p_brand) WHERE subunit = 'u1' AND cores = x GROUP BY 1
 UNION ALL SELECT p_brand, 'b:min-cores-max-section', max(section), min(cores) FROM c JOIN (SELECT p_brand, min(cores) AS x FROM c WHERE subunit = 'u1' GROUP BY 1) USING (p_brand) WHERE subunit = 'u1' AND cores = x GROUP BY 1
@@ -476,7 +476,7 @@ def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.copy_text(rows, "p_brand", "candidate", requirements.spec_text(section, F.lit(3), F.lit("round"), F.col("color"), F.col("any_spec")))
 
 
-@registered("""SELECT p_partkey, c AS category, 2 AS total, CASE WHEN c = '绝缘' THEN 1 ELSE 0 END AS filed, CASE WHEN c = '绝缘' THEN '乙' || p_size || ',甲' ELSE '丁' || p_size || ',丙' END AS brands, c = '护套' AND p_partkey % 2 = 0 AS needs_review FROM part CROSS JOIN (VALUES ('绝缘'), ('护套')) AS v(c)""")
+@registered("""SELECT p_partkey, c AS category, 2::BIGINT AS total, CASE WHEN c = '绝缘' THEN 1 ELSE 0 END::BIGINT AS filed, CASE WHEN c = '绝缘' THEN '乙' || p_size || ',甲' ELSE '丁' || p_size || ',丙' END AS brands, c = '护套' AND p_partkey % 2 = 0 AS needs_review FROM part CROSS JOIN (VALUES ('绝缘'), ('护套')) AS v(c)""")
 def material_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = said("绝缘：甲√(CQC-", part_key() + 1000, ")、乙", part_size(), "；护套: 丙", F.when(part_key() % 2 == 0, "√").otherwise(""), "，丁", part_size())
     return requirements.material_groups(parts(spark, sf_dir).select("p_partkey", text.alias("t")), "p_partkey", "t").withColumn("brands", joined("brands"))

@@ -177,7 +177,7 @@ def report_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a b c' || p_type ELSE 'A-1' END AS folded, upper(p_brand || p_type) AS key, 'RVV(' || p_size || ')-Z' AS code, 'RVV-' || p_size AS base, '东海（' || p_size || '）公司' AS company, 'AB' || p_size AS ident,
 CASE WHEN p_partkey % 3 = 0 THEN p_size END::DOUBLE AS number, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR END AS member, p_type AS first, CASE p_partkey % 4 WHEN 0 THEN 'revoked' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'active' ELSE 'unknown' END AS status,
-25 * (p_partkey % 3) + 10 AS percent, p_type || ' <b> & x' AS visible, p_size % 4 AS median FROM part""")
+(25 * (p_partkey % 3) + 10)::INT AS percent, p_type || ' <b> & x' AS visible, p_size % 4 AS median FROM part""")
 def normalised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar normalisers and strict parsers side by side."""
     text = F.when(part_key() % 2 == 0, said(" ａ b　ｃ", part_type(), " ")).otherwise("Ａ－１")
