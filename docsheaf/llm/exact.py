@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsheaf.llm.shared import chosen_rows, cut, free_name, new_path, read_documents, row_keys, whole_text
+from docsheaf.llm.shared import chosen_rows, cut, free_name, new_path, read_documents, remove, row_keys, whole_text
 
 #: Buckets of a new index; a production index of 100 TB would take some thousands.
 BUCKETS = 32
@@ -52,6 +52,11 @@ class DigestIndex:
         fresh.select("digest", "keep_id", "n_chars").repartition(self.buckets, "digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def drop(self) -> None:
+        """Forgets the index and deletes its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
+
     def ingest(self, rows: DataFrame) -> DataFrame:
         """Adds the new digests of ``rows`` (see digests()); returns their groups.
 
@@ -75,12 +80,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
     The digests are cut once, so texts are read and hashed a single time.  The groups are cut too:
     both sides of the last join then come from plain shuffles, and Spark splits a hot digest's rows
-    over several tasks.
+    over several tasks.  Without an ``index`` a new one serves this call alone.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, new_path(spark, "digest-index"))
+    own = index or DigestIndex(spark, new_path(spark, "digest-index"))
     rows = cut(digests(docs, id_col, text))
-    groups = cut(index.ingest(rows))
+    groups = cut(own.ingest(rows))
+    if index is None:
+        own.drop()
     out = rows.join(groups, "digest")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
