@@ -87,33 +87,6 @@ def compile_condition(node: dict, schema: T.StructType, conflicts: Column | None
     return build(node)
 
 
-def evaluate(node: dict, facts: dict[str, Any], conflicts: tuple[str, ...] = ()) -> bool | None:
-    """The same for one dict of facts, in plain Python: what the compiled form is tested against."""
-    op = str(node.get("op") or "").lower()
-    if op in ("all", "any"):
-        states = [evaluate(r, facts, conflicts) for r in node.get("rules") or []]
-        decisive = op == "any"
-        return None if not states else decisive if decisive in states else None if None in states else not decisive
-    if op == "not":
-        state = evaluate(node.get("rule") or {}, facts, conflicts)
-        return None if state is None else not state
-    name = node.get("field")
-    if facts.get(name) is None or name in conflicts:
-        return None
-    actual, value = facts[name], node.get("value")
-    if op in _COMPARE:
-        left, right = _as_number(actual), _as_number(value)
-        return None if left is None or right is None else _COMPARE[op](left, right)
-    if op == "between":
-        bounds = [_as_number(x) for x in (node.get("min"), float(actual) if isinstance(actual, bool) else actual, node.get("max"))]
-        return None if None in bounds else bounds[0] <= bounds[1] <= bounds[2]
-    if op == "==":
-        return actual == value
-    if op in ("in", "not_in"):
-        return (actual in (value or [])) == (op == "in")
-    return None
-
-
 def state_name(condition: Column) -> Column:
     return F.coalesce(condition.cast("string"), F.lit("unknown"))
 
