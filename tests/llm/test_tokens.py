@@ -102,6 +102,24 @@ def test_plan_balances_cost():
     assert packing.plan(np.array([], dtype=np.int64)) == []
 
 
+def test_plans_pad_less_than_one_sequence_and_cut_few_documents():
+    rng = random.Random(6)
+    for _ in range(60):
+        lengths = np.array([rng.choice([rng.randint(1, 60), rng.randint(1, 900), rng.randint(1, 7000)]) for _ in range(rng.randint(1, 120))])
+        pieces = packing.plan(lengths, capacity=512)
+        cover, used = {}, {}
+        for doc, start, length, seq, offset in pieces:
+            cover.setdefault(doc, []).append((start, length))
+            used.setdefault(seq, []).append((offset, length))
+        for doc, own in cover.items():
+            assert sorted(own)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
+            assert sum(n for _, n in own) == lengths[doc]
+        for own in used.values():
+            assert sorted(own)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
+        assert len(used) == -(-int(lengths.sum()) // 512)
+        assert len(pieces) <= len(lengths) + 2 * len(used)
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 5000, 262_144, 300_001])
 def test_rans_round_trip(n):
     rng = np.random.default_rng(n)
