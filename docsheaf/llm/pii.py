@@ -170,14 +170,33 @@ def labelled(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
 
 @dataclass
 class Model:
-    """Labeler reliabilities by kind (P of +, 0, - given personal data or not) and the classifier's probability of each pattern."""
+    """Labeler reliabilities by kind (P of +, 0, - given personal data or not) and the classifier's weights.
+
+    ``probability`` holds what the weights give for the patterns they were fitted on; others are computed when they
+    are met, so a model serves documents it has not seen.
+    """
 
     prior: dict[str, float]
     reliability: dict[str, dict[str, dict[str, tuple[float, ...]]]]
     probability: dict[str, float]
+    weights: tuple[float, ...] = ()
 
     def accepts(self, pattern: str) -> bool:
-        return self.probability.get(pattern, 0.0) >= ACCEPT
+        if pattern not in self.probability:
+            self.probability[pattern] = float(chances(pattern_features([pattern])[2], np.array(self.weights))[0]) if self.weights else 0.0
+        return self.probability[pattern] >= ACCEPT
+
+
+def pattern_features(patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds and votes of patterns as one-hots, and the classifier's features: kinds, votes by kind, votes."""
+    kind = np.eye(len(KINDS))[[KINDS.index(p.split(":")[0]) for p in patterns]]
+    seen = np.eye(3)[np.array([["+0-".index(c) for c in p.split(":")[1][: len(LABELERS)]] for p in patterns])]
+    n = len(patterns)
+    return kind, seen, np.concatenate([kind, np.einsum("pk,plv->pklv", kind, seen).reshape(n, -1), seen.reshape(n, -1)], axis=1)
+
+
+def chances(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
 
 
 def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> Model:
@@ -194,10 +213,9 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> Model:
     if not patterns:
         return Model({}, {}, {})
     weight = np.array([counts[p] for p in patterns], dtype=float)
-    kind = np.eye(len(KINDS))[[KINDS.index(p.split(":")[0]) for p in patterns]]
-    vote = np.array([["+0-".index(c) for c in p.split(":")[1][: len(LABELERS)]] for p in patterns])
+    kind, seen, features = pattern_features(patterns)
+    vote = seen.argmax(axis=2)
     anchored = np.array([p.endswith("!") for p in patterns])
-    seen = np.eye(3)[vote]
     truth = np.where(anchored, 1.0, 1 / (1 + np.exp(-2.0 * (1 - vote).sum(axis=1))))
 
     def rates(mass: np.ndarray) -> np.ndarray:
@@ -212,21 +230,21 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> Model:
         yes, no = rates(weight * anchored), rates(weight * (1 - truth))
         log = kind @ (np.log(share) - np.log1p(-share)) + np.einsum("pk,plv,klv->p", kind, seen, np.log(yes) - np.log(no))
         truth = np.where(anchored, 1.0, 1 / (1 + np.exp(-np.clip(log, -30, 30))))
-    features = np.concatenate([kind, np.einsum("pk,plv->pklv", kind, seen).reshape(len(patterns), -1), seen.reshape(len(patterns), -1)], axis=1)
-    probability = logistic(features, truth, weight)
+    weights = logistic(features, truth, weight)
+    probability = chances(features, weights)
     reliability = {k: {name: {"yes": tuple(yes[i, j]), "no": tuple(no[i, j])} for j, name in enumerate(LABELERS)} for i, k in enumerate(KINDS)}
-    return Model(dict(zip(KINDS, share.tolist(), strict=True)), reliability, dict(zip(patterns, probability.tolist(), strict=True)))
+    return Model(dict(zip(KINDS, share.tolist(), strict=True)), reliability, dict(zip(patterns, probability.tolist(), strict=True)), tuple(weights.tolist()))
 
 
 def logistic(features: np.ndarray, truth: np.ndarray, weight: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Fitted probabilities of a logistic regression on soft labels, by Newton's method."""
+    """Weights of a logistic regression on soft labels, by Newton's method."""
     beta = np.zeros(features.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))
+        p = chances(features, beta)
         gradient = features.T @ (weight * (truth - p)) - penalty * beta
         hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(beta))
         beta = beta + np.linalg.solve(hessian, gradient)
-    return 1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))
+    return beta
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,3 +110,10 @@ def test_stage_and_edges(spark, sf_dir):
 @pytest.mark.parametrize("counts", [{"card:+++++": 3}, {"card:+0000": 5, "ip:-----": 5}])
 def test_em_on_few_patterns(counts):
     assert all(0 <= p <= 1 for p in pii.expectation_maximisation(counts).probability.values())
+
+
+def test_patterns_that_the_fit_has_not_seen_are_scored_by_the_weights(spark, sf_dir):
+    model = pii.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    fitted = dict(model.probability)
+    model.probability.clear()
+    assert {p: model.accepts(p) for p in fitted} == {p: v >= pii.ACCEPT for p, v in fitted.items()}
