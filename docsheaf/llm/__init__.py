@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import bpe, chat, exact, ngram, packing, pii, quality, repeats, sharding, tokenfile, urls
+    from docsheaf.llm import bpe, chat, exact, minhash, ngram, packing, pii, quality, repeats, sharding, tokenfile, urls
 
     return {
         "op1_cost_packing": packing.query,
@@ -19,6 +19,7 @@ def queries():
         "op9_rans_files": tokenfile.query,
         "op10_quality_ledger": quality.query,
         "op12_suffix_runs": repeats.query,
+        "op13_oph_stars": minhash.query,
     }
 
 
