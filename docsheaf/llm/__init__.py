@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def queries():
     """Name -> query (spark, sf_dir) -> DataFrame."""
-    from docsheaf.llm import bpe, chat, exact, minhash, ngram, packing, pii, quality, repeats, sharding, tokenfile, urls
+    from docsheaf.llm import bpe, chat, exact, minhash, ngram, packing, phrases, pii, quality, repeats, sharding, tokenfile, urls
 
     return {
         "op1_cost_packing": packing.query,
@@ -18,6 +18,7 @@ def queries():
         "op8_exact_dedup": exact.query,
         "op9_rans_files": tokenfile.query,
         "op10_quality_ledger": quality.query,
+        "op11_stripe_phrases": phrases.query,
         "op12_suffix_runs": repeats.query,
         "op13_oph_stars": minhash.query,
     }
@@ -25,6 +26,6 @@ def queries():
 
 def oracle_sql():
     """Name -> DuckDB SQL, where SQL can say it."""
-    from docsheaf.llm import chat, exact, quality
+    from docsheaf.llm import chat, exact, phrases, quality
 
-    return {"op5_chat_collapse": chat.SQL, "op8_exact_dedup": exact.SQL, "op10_quality_ledger": quality.SQL}
+    return {"op5_chat_collapse": chat.SQL, "op8_exact_dedup": exact.SQL, "op10_quality_ledger": quality.SQL, "op11_stripe_phrases": phrases.SQL}
