@@ -320,18 +320,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
-w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
-g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
-      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k)),
-f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
-cuts AS (SELECT c.lang, c.k, c.phrase, c.a, v.j, x.f AS l, y.f AS r, 1000000 * c.a * c.a // (x.f * y.f) AS score
-         FROM c JOIN (VALUES (1), (2)) AS v(j) ON v.j < c.k
-         JOIN f x ON x.lang = c.lang AND x.k = v.j AND x.phrase = array_to_string(list_slice(c.ws, 1, v.j), ' ')
-         JOIN f y ON y.lang = c.lang AND y.k = c.k - v.j AND y.phrase = array_to_string(list_slice(c.ws, v.j + 1, c.k), ' ')),
+w AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+o AS (SELECT lang, id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
+s AS (SELECT lang, x, lead(x) OVER v AS y, lead(x, 2) OVER v AS z FROM o WINDOW v AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, x AS phrase FROM s UNION ALL SELECT lang, x || ' ' || y FROM s WHERE y IS NOT NULL UNION ALL SELECT lang, x || ' ' || y || ' ' || z FROM s WHERE z IS NOT NULL),
+f AS (SELECT lang, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE NOT contains(phrase, ' ') GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE f >= 10 AND contains(phrase, ' ')),
+h AS (SELECT lang, phrase, a, 1 AS j, ws[1] AS head, array_to_string(ws[2:], ' ') AS tail FROM c
+      UNION ALL SELECT lang, phrase, a, 2, array_to_string(ws[1:2], ' '), ws[3] FROM c WHERE len(ws) = 3),
+cuts AS (SELECT h.lang, h.phrase, h.a, h.j, x.f AS l, y.f AS r, 1000000 * h.a * h.a // (x.f * y.f) AS score
+         FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.head JOIN f y ON y.lang = h.lang AND y.phrase = h.tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE len(ws) = 3) GROUP BY ALL),
 kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.part = b.phrase WHERE o.most IS NULL OR 100 * o.most < 50 * b.a)
 SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM kept JOIN n ON n.lang = kept.lang
