@@ -162,9 +162,9 @@ def attached(observations: DataFrame, specimens: DataFrame, on: list[str]) -> tu
 
 
 def checked_identity(segments: DataFrame, key: str, cover: str, header: str) -> DataFrame:
-    """(key, identity, reason): what a segment's covers and table headers say, if they agree; several covers or a conflict leave none."""
+    """(key, identity, reason): what a segment's covers and table headers say, if all agree; several covers or any header that says otherwise leave none."""
     per = segments.groupBy(key).agg(F.collect_set(F.nullif(F.trim(cover), F.lit(""))).alias("c"), F.collect_set(F.nullif(F.trim(header), F.lit(""))).alias("h"))
-    reason = F.when(F.size("c") > 1, "several_covers").when((F.size("c") == 1) & (F.size("h") > 0) & ~F.array_contains("h", F.get("c", F.lit(0))), "conflict").when((F.size("c") == 0) & (F.size("h") != 1), "no_identity")
+    reason = F.when(F.size("c") > 1, "several_covers").when((F.size("c") == 1) & (F.size(F.array_except("h", "c")) > 0), "conflict").when((F.size("c") == 0) & (F.size("h") != 1), "no_identity")
     return per.select(key, F.when(reason.isNull(), F.coalesce(F.get("c", F.lit(0)), F.get("h", F.lit(0)))).alias("identity"), reason.alias("reason"))
 
 
@@ -207,14 +207,14 @@ def adopted(current: DataFrame, proposals: DataFrame, on: list[str]) -> DataFram
 
 
 def supported_cells(cells: DataFrame, characters: DataFrame, on: list[str], low: float = 0.60, high: float = 0.95) -> DataFrame:
-    """Cells of low confidence with whether the page's own characters in their box, in order, are the same text."""
+    """Cells of low confidence with whether the page's own characters in their box, in order, are the same text; cell ids count within ``on``."""
     c = characters.select(*on, "x", "y", F.col("char").alias("__char"), "hidden")
     inside = (F.col("x") >= F.col("left")) & (F.col("x") <= F.col("right")) & (F.col("y") >= F.col("top")) & (F.col("y") <= F.col("bottom"))
     weak = cells.filter((F.col("confidence") >= low) & (F.col("confidence") < high))
-    read = weak.join(c, on).filter(inside).groupBy("cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "__char"))), lambda v: v["__char"]), "").alias("__native"), F.bool_or("hidden").alias("__hidden"))
+    read = weak.join(c, on).filter(inside).groupBy(*on, "cell_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "__char"))), lambda v: v["__char"]), "").alias("__native"), F.bool_or("hidden").alias("__hidden"))
     canonical = lambda v: F.replace(F.regexp_replace(F.translate(v, "²（）：", "2():"), r"\s+|°(?=℃)", ""), F.lit("°C"), F.lit("℃"))
     same = ~F.col("__hidden") & (canonical(F.col("__native")) == canonical(F.col("text"))) & (F.col("__native") != "")
-    return weak.join(read, "cell_id", "left").withColumn("supported", F.coalesce(same, F.lit(False))).drop("__native", "__hidden")
+    return weak.join(read, [*on, "cell_id"], "left").withColumn("supported", F.coalesce(same, F.lit(False))).drop("__native", "__hidden")
 
 
 def routed(reports: DataFrame, text: str, categories: dict[str, str], conventional: str, titles: str, bound: str | None = None) -> DataFrame:
@@ -253,8 +253,8 @@ def condition_records(lines: DataFrame, keys: list[str], order: str, heading: st
 
 
 def complete_row_sets(rows: DataFrame, group: list[str], stage: str, field: str, stages: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Groups whose rows have every field in every stage exactly once, and nothing else; a table that lost a row recovers nothing."""
-    per = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.count_distinct(F.struct(stage, field)).alias("__d"), F.bool_and(F.col(stage).isin(*stages) & F.col(field).isin(*fields)).alias("__known"))
+    """Groups whose rows have every field in every stage exactly once, and nothing else; a table that lost a row, or has one without stage or field, recovers nothing."""
+    per = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.count_distinct(F.struct(stage, field)).alias("__d"), F.bool_and(F.coalesce(F.col(stage).isin(*stages) & F.col(field).isin(*fields), F.lit(False))).alias("__known"))
     whole = len(stages) * len(fields)
     return per.filter((F.col("__n") == whole) & (F.col("__d") == whole) & F.col("__known")).select(*group)
 

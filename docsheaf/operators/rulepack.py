@@ -67,27 +67,58 @@ class Template:
     unit: str = ""
 
 
+#: Unit -> (what it measures in, factor).  A value converts between units of one base only.
+UNITS = {
+    "mm": ("mm", 1.0), "cm": ("mm", 10.0), "m": ("mm", 1000.0), "µm": ("mm", 0.001), "μm": ("mm", 0.001),
+    "N/mm2": ("N/mm2", 1.0), "N/mm²": ("N/mm2", 1.0), "MPa": ("N/mm2", 1.0), "kPa": ("N/mm2", 0.001),
+    "mg/cm2": ("mg/cm2", 1.0), "mg/cm²": ("mg/cm2", 1.0), "g/m2": ("mg/cm2", 0.1), "g/m²": ("mg/cm2", 0.1),
+    "%": ("%", 1.0), "‰": ("%", 0.1), "N": ("N", 1.0), "kN": ("N", 1000.0),
+    "Ω/km": ("Ω/km", 1.0), "mΩ/m": ("Ω/km", 1.0), "Ω/m": ("Ω/km", 1000.0), "MΩ·km": ("MΩ·km", 1.0), "GΩ·km": ("MΩ·km", 1000.0),
+}
+#: Anything that stands behind a number like a unit, known or not.
+_UNIT = r"[A-Za-zµμΩ℃°%‰](?:[A-Za-zµμΩ℃°%‰/·²³]|(?<=m)[23])*"
+_NOT_INSIDE = r"(?<![A-Za-z0-9.²³/])"
+
+
+def _factor(unit: Column, wanted: str) -> Column:
+    """What a value in ``unit`` is multiplied by to be in ``wanted``: 1 without a unit, null for a unit of something else."""
+    base, own = UNITS.get(wanted, (wanted, 1.0))
+    factors = {u: f / own for u, (b, f) in UNITS.items() if b == base} | {wanted: 1.0}
+    table = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
+    return F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(table, unit))
+
+
+def _quantities(text: Column, number: str, wanted: str) -> Column:
+    """The numbers of a text with their units read, in the wanted unit; null where a unit does not convert."""
+    pattern = F.lit(rf"{_NOT_INSIDE}({number})(?:[ \t]*({_UNIT}))?")
+    return F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda v, u: v.try_cast("double") * _factor(u, wanted))
+
+
 def extract_measurements(lines: DataFrame, keys: list[str], text: str, templates: list[Template]) -> DataFrame:
     """(keys, item, unit, limit_op, limit, values, status) of every line that has a template's label.
 
-    ``unresolved`` where there is no value, or two limits: ambiguity is never resolved by position.
+    Units behind numbers are read: values and the limit are in the template's unit, which a number without one is taken to be in.
+    ``unresolved`` where there is no value, a unit does not convert, or there are two limits: ambiguity is never resolved by position.
     """
     found = []
     for t in templates:
         rest = F.regexp_extract(text, rf"(?:{t.label})\s*[:：]?\s*(.*)$", 1)
-        limits = F.regexp_extract_all(rest, F.lit(f"({t.limit})"), F.lit(1))
-        body = F.regexp_replace(rest, t.limit, " ")
-        values = F.transform(F.regexp_extract_all(body, F.lit(f"({t.value})"), F.lit(1)), lambda v: v.try_cast("double"))
+        limited = rf"{t.limit}(?:[ \t]*{_UNIT})?"
+        limits = F.regexp_extract_all(rest, F.lit(f"({limited})"), F.lit(1))
+        values = _quantities(F.regexp_replace(rest, limited, " "), t.value, t.unit)
+        bounds = _quantities(F.regexp_replace(limits[0], r"^[^\d-]+", ""), r"\d+(?:\.\d+)?", t.unit)
+        one = F.size(limits) == 1
+        sure = (F.size(values) > 0) & ~F.exists(values, lambda v: v.isNull()) & (F.size(limits) <= 1) & (~one | bounds[0].isNotNull())
         found.append(
             F.when(
                 F.regexp_like(text, F.lit(t.label)),
                 F.struct(
                     F.lit(t.item).alias("item"),
                     F.lit(t.unit).alias("unit"),
-                    F.when(F.size(limits) == 1, F.translate(F.regexp_extract(limits[0], r"^\D+", 0), " ", "")).alias("limit_op"),
-                    F.when(F.size(limits) == 1, F.regexp_extract(limits[0], r"[\d.]+$", 0).try_cast("double")).alias("limit"),
+                    F.when(one, F.translate(F.regexp_extract(limits[0], r"^[^\d]+", 0), " ", "")).alias("limit_op"),
+                    F.when(one, bounds[0]).alias("limit"),
                     values.alias("values"),
-                    F.when((F.size(values) > 0) & (F.size(limits) <= 1), "complete").otherwise("unresolved").alias("status"),
+                    F.when(sure, "complete").otherwise("unresolved").alias("status"),
                 ),
             )
         )

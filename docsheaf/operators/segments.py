@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,24 +70,25 @@ def first_marker(docs: DataFrame, id_col: str, lines: Column, markers: Column |
 def packed(rows: DataFrame, doc: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows of each document in order, with batches of at most ``budget``; a row over it is a batch of its own.
 
-    Greedy, so sequential inside a document; documents are independent.
+    Greedy, so sequential inside a document; documents are independent.  Rows without a document are one document; a null size
+    counts as 0.
     """
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, used, last = 0, 0, None
-        for frame in frames:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, used, last = 0, 0, object()
+        for rows in batches:
             out = []
-            for key, n in zip(frame[doc].tolist(), frame[size].tolist(), strict=True):
+            for key, n in zip(rows.column(doc).to_pylist(), rows.column(size).to_pylist(), strict=True):
                 if key != last:
                     batch, used, last = 0, 0, key
-                if used and used + n > budget:
+                if used and used + (n or 0) > budget:
                     batch, used = batch + 1, 0
-                used += n
+                used += n or 0
                 out.append(batch)
-            yield frame.assign(batch=pd.Series(out, dtype="int64", index=frame.index))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
-    return rows.repartition(doc).sortWithinPartitions(doc, order).mapInPandas(pack, schema)
+    return rows.repartition(doc).sortWithinPartitions(doc, order).mapInArrow(pack, schema)
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, gap: float, name: str = "island") -> DataFrame:

@@ -90,15 +90,19 @@ def regression(cases: DataFrame, results: DataFrame, key: str, pairs: dict[str,
 def roots(reports: DataFrame) -> DataFrame:
     """(id, root_id) of reports (id, parent_id) whose roots are lost: pointers are doubled until none moves.
 
-    Each round joins once and halves the way, so a chain of n takes log2 n rounds; ids in a cycle have no root.
+    Each round joins once and halves the way, so the longest chain of n reports takes log2 n rounds; what still moves then is, or
+    leads into, a cycle.  Those have no root: a root is a report without another parent, or a parent that has no row.
     """
     from docsheaf.operators.lineage import settled
 
-    jumps = reports.select("id", F.coalesce("parent_id", "id").alias("up"))
-    while True:
+    first = settled(reports.select("id", F.coalesce("parent_id", "id").alias("up")))
+    jumps, rounds = first, first.count().bit_length() + 1
+    for _ in range(rounds):
         ahead = jumps.select(F.col("id").alias("up"), F.col("up").alias("next"))
         step = settled(jumps.join(ahead, "up", "left").select("id", "up", F.coalesce("next", "up").alias("next")))
         moved = step.filter("next <> up").limit(1).count()
         jumps = step.select("id", F.col("next").alias("up"))
         if not moved:
-            return jumps.withColumnRenamed("up", "root_id")
+            break
+    ends = first.select(F.col("id").alias("up"), (F.col("up") != F.col("id")).alias("inner"))
+    return jumps.join(ends, "up", "left").select("id", F.when(F.coalesce("inner", F.lit(False)), None).otherwise(F.col("up")).alias("root_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,7 @@ def _lock(limit: int, minutes: int):
         fails, until = state.get if state.exists else (0, None)
         until = None if until is None else pd.Timestamp(until)
         out = []
-        for at, failed in sorted((t for f in frames for t in zip(f["at"], f["failed"], strict=True)), key=lambda t: t[0]):
+        for at, failed in sorted((t for f in frames for t in zip(f["at"], f["failed"], strict=True)), key=lambda t: (t[0], bool(t[1]))):
             if until is not None and at < until:
                 continue
             until = None
@@ -78,14 +80,17 @@ def lock_outs(stream: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame
 
 
 def lock_outs_batch(events: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """The same for a table: each user's events pass in order, and only a counter and the end of a lock are held."""
-    length = pd.Timedelta(minutes=minutes)
+    """The same for a table: each user's events pass in order, and only a counter and the end of a lock are held.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, fails, until = None, 0, None
-        for frame in frames:
+    Events without a user are those of one user, as in the stream; events without a time are left out.
+    """
+    length = timedelta(minutes=minutes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, fails, until = object(), 0, None
+        for rows in batches:
             out = []
-            for who, at, failed in zip(frame["user_id"], frame["at"], frame["failed"], strict=True):
+            for who, at, failed in zip(*[rows.column(c).to_pylist() for c in ("user_id", "at", "failed")], strict=True):
                 if who != user:
                     user, fails, until = who, 0, None
                 if until is not None and at < until:
@@ -94,10 +99,11 @@ def lock_outs_batch(events: DataFrame, limit: int = 5, minutes: int = 15) -> Dat
                 if fails >= limit:
                     fails, until = 0, at + length
                     out.append((who, at, until))
-            yield pd.DataFrame(out, columns=["user_id", "at", "until"]).astype({"at": "datetime64[ns]", "until": "datetime64[ns]"})
+            kinds = [rows.schema.field("user_id").type, rows.schema.field("at").type, rows.schema.field("at").type]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["user_id", "at", "until"])
 
-    ordered = events.select("user_id", "at", "failed").repartition("user_id").sortWithinPartitions("user_id", "at", "failed")
-    return ordered.mapInPandas(run, T.StructType([events.schema["user_id"], events.schema["at"], T.StructField("until", events.schema["at"].dataType)]))
+    known = events.filter(F.col("at").isNotNull()).select("user_id", "at", F.coalesce("failed", F.lit(False)).alias("failed"))
+    return known.repartition("user_id").sortWithinPartitions("user_id", "at", "failed").mapInArrow(run, T.StructType([events.schema["user_id"], events.schema["at"], T.StructField("until", events.schema["at"].dataType)]))
 
 
 def retry_eligible(tasks: DataFrame, key: str, most: int) -> DataFrame:
