@@ -31,11 +31,13 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsheaf.llm.components import components
@@ -45,6 +47,8 @@ from docsheaf.llm.tokens import slices
 WORDS, PERCENT = 5, 80
 #: Minima per node; nodes and shingles of one trie block; shingles of one hash range; bytes of text packed together.
 SKETCHES, BLOCK_NODES, BLOCK_SHINGLES, RANGE_SHINGLES, CHUNK_BYTES = 2, 1000, 2_000_000, 2_000_000, 10_000_000
+#: Tasks that take hash ranges, for each shuffle partition of the session, at most.
+TASKS = 8
 #: Bits of a parity signature; base of the size classes, over 1 / 0.8, so that linked sizes are in neighbouring classes.
 SIGNATURE_BITS, CLASS_BASE = 1024, 1.2501
 PACKED_SCHEMA = "bucket int, chunk long, n int, shingles binary, owners binary, nodes binary, doc_ids array<bigint>, sizes array<int>, keys array<bigint>"
@@ -115,11 +119,12 @@ def _packed(buckets: int, words: int):
                     order = np.argsort(values, kind="stable")
                     values, owners = values[order], owners[order]
                     bucket = ((values >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+                    # Only the ranges that the chunk fills, and its home, have a row: never more rows than shingles.
+                    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    filled = dict(zip(bucket[starts].tolist(), zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True), strict=True))
                     rows = []
                     home = chunk % buckets
-                    for b in range(buckets):
-                        lo, hi = int(edges[b]), int(edges[b + 1])
+                    for b, (lo, hi) in ({home: (0, 0)} | filled).items():
                         row = {"bucket": b, "chunk": chunk, "n": hi - lo, "shingles": b"", "owners": b"", "nodes": b"", "doc_ids": None, "sizes": None, "keys": None}
                         if hi > lo:
                             used, number = np.unique(owners[lo:hi], return_inverse=True)
@@ -128,8 +133,7 @@ def _packed(buckets: int, words: int):
                             row["nodes"] = used.astype("<u2").tobytes() + keys[used].astype("<u8").tobytes()
                         if b == home:
                             row |= {"doc_ids": own.column("doc_id").to_pylist(), "sizes": sizes.tolist(), "keys": keys.view(np.int64).tolist()}
-                        if hi > lo or b == home:
-                            rows.append(row)
+                        rows.append(row)
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))]))
                     chunk += 1
 
@@ -140,24 +144,30 @@ _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _SHARED_TYPE = pa.schema([("chunk", pa.int64()), ("refs", _LONGS), ("counts", _INTS), ("shared", _LONGS), ("doc_ids", _LONGS), ("sizes", _INTS), ("keys", _LONGS)])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash ranges of a task, which its rows come sorted by, one after the other: only one is held."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for _, own in groupby(rows, key=itemgetter("bucket")):
+        yield from _shared(own)
+
+
+def _shared(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     """One hash range: the documents of its chunks, and for each node its shingles that others have too.
 
     A node that occurs in several chunks is known by its smallest place (chunk and row), in all ranges alike.
     """
     values, keys, refs = [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            base = row["chunk"] << 16
-            if row["doc_ids"] is not None:
-                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("chunk", "doc_ids", "sizes", "keys")}], schema=_SHARED_TYPE)
-            if n := row["n"]:
-                table = len(row["nodes"]) // 10
-                used, known = np.frombuffer(row["nodes"], dtype="<u2", count=table), np.frombuffer(row["nodes"], dtype="<u8", offset=2 * table)
-                number = _stretched(row["owners"], "<u2", n)
-                values.append(np.cumsum(_stretched(row["shingles"], "<u8", n), dtype=np.uint64))
-                keys.append(known[number])
-                refs.append(base + used[number].astype(np.int64))
+    for row in rows:
+        base = row["chunk"] << 16
+        if row["doc_ids"] is not None:
+            yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("chunk", "doc_ids", "sizes", "keys")}], schema=_SHARED_TYPE)
+        if n := row["n"]:
+            table = len(row["nodes"]) // 10
+            used, known = np.frombuffer(row["nodes"], dtype="<u2", count=table), np.frombuffer(row["nodes"], dtype="<u8", offset=2 * table)
+            number = _stretched(row["owners"], "<u2", n)
+            values.append(np.cumsum(_stretched(row["shingles"], "<u8", n), dtype=np.uint64))
+            keys.append(known[number])
+            refs.append(base + used[number].astype(np.int64))
     if not values:
         return
     value, key, ref = np.concatenate(values), np.concatenate(keys), np.concatenate(refs)
@@ -343,7 +353,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, sketches: int = SKETCHE
     size = docs.agg(F.sum(F.octet_length(whole_text("text"))).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-size // (7 * range_shingles)))
     packed = docs.mapInArrow(_packed(buckets, words), PACKED_SCHEMA)
-    found = cut(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, SHARED_SCHEMA))
+    # The number of tasks is a matter of the cluster; each takes its ranges in order.
+    tasks = min(buckets, TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    found = cut(dealt.mapInArrow(_ranges, SHARED_SCHEMA))
     zipped = F.posexplode(F.arrays_zip("doc_ids", "sizes", "keys")).alias("at", "d")
     documents = found.filter("doc_ids is not null").select("chunk", zipped).select((F.shiftleft("chunk", 16) + F.col("at")).alias("ref"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n"), F.col("d.keys").alias("key"))
     sets = documents.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("ref").alias("node"))
@@ -382,14 +395,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that with the smallest id, null last; so do all rows without words.
 
-    The join knows a row by two hashes of its id and text, so rows may share an id or have none.
+    The join knows a row by a hash of its id and text, so rows may share an id or have none.  Different rows that share
+    that hash, which a second hash tells, all stay.
     """
     k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
     keys = dict(zip((k1, k2), row_keys(docs["doc_id"], docs["text"]), strict=True))
     known = docs.select(docs["doc_id"].alias("id"), *[k.alias(n) for n, k in keys.items()]).groupBy(k1, k2).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
     found = near_duplicates(docs.select(keys[k1].alias("doc_id"), "text"))
     rows = found.groupBy(F.col("doc_id").alias(k1)).agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n")).join(known, k1)
+    alike = free_name(rows, "alike")
+    rows = rows.withColumn(alike, F.count("*").over(Window.partitionBy(k1)))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", k1, k2, "copies")).alias("first")
-    kept = rows.filter("n > 0").groupBy("component_id").agg(first).select(f"first.{k1}", f"first.{k2}", "first.copies")
-    blank = rows.filter("n = 0").select(k1, k2, F.lit(1).cast("long").alias("copies"))
+    kept = rows.filter((F.col("n") > 0) & (F.col(alike) == 1)).groupBy("component_id").agg(first).select(f"first.{k1}", f"first.{k2}", "first.copies")
+    blank = rows.filter((F.col("n") == 0) | (F.col(alike) > 1)).select(k1, k2, F.lit(1).cast("long").alias("copies"))
     return chosen_rows(docs, keys, kept.unionAll(blank))
