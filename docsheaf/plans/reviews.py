@@ -241,7 +241,7 @@ def attached_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber <= 2)) AS c, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber > 2)) AS h FROM lineitem GROUP BY 1),
-r AS (SELECT *, coalesce(len(c), 0) AS nc, coalesce(len(h), 0) AS nh FROM g), s AS (SELECT *, CASE WHEN nc > 1 THEN 'several_covers' WHEN nc = 1 AND nh > 0 AND NOT list_contains(h, c[1]) THEN 'conflict' WHEN nc = 0 AND nh <> 1 THEN 'no_identity' END AS reason FROM r)
+r AS (SELECT *, coalesce(len(c), 0) AS nc, coalesce(len(h), 0) AS nh FROM g), s AS (SELECT *, CASE WHEN nc > 1 THEN 'several_covers' WHEN nc = 1 AND nh > 0 AND (nh > 1 OR h[1] <> c[1]) THEN 'conflict' WHEN nc = 0 AND nh <> 1 THEN 'no_identity' END AS reason FROM r)
 SELECT l_orderkey, CASE WHEN reason IS NULL THEN coalesce(c[1], h[1]) END AS identity, reason FROM s""")
 def identity_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     cover = F.col("l_linenumber") <= 2
