@@ -121,7 +121,7 @@ def _packed(buckets: int, words: int):
                     bucket = ((values >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                     # Only the ranges that the chunk fills, and its home, have a row: never more rows than shingles.
                     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    filled = dict(zip(bucket[starts].tolist(), zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True), strict=True))
+                    filled = dict(zip(bucket[starts].tolist(), zip(starts.tolist(), np.append(starts, len(bucket))[1:].tolist(), strict=True), strict=True))
                     rows = []
                     home = chunk % buckets
                     for b, (lo, hi) in ({home: (0, 0)} | filled).items():
