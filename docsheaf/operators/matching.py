@@ -110,12 +110,20 @@ def reconcile(source: DataFrame, returned: DataFrame, on: list[str]) -> DataFram
 def prefix_compatible(new: DataFrame, known: DataFrame, name: str, known_name: str, block: int = 6, gap: int = 8) -> DataFrame:
     """Pairs of names of which one is a prefix of the other, at least ``block`` long and at most ``gap`` apart.
 
-    Blocked on the first characters, an equi-join.
+    The longer name meets the shorter one by its own prefixes, one for each length that is allowed: an equi-join on
+    whole names, so names that only begin alike never meet.  Null and shorter names have no pair.
     """
-    long = lambda c: F.length(c) >= block
-    a, b = new.filter(long(name)), known.filter(long(known_name))
-    on = (F.substring(a[name], 1, block) == F.substring(b[known_name], 1, block)) & (F.abs(F.length(a[name]) - F.length(b[known_name])) <= gap) & (F.startswith(a[name], b[known_name]) | F.startswith(b[known_name], a[name]))
-    return a.join(b, on)
+    key = "__prefix"
+    enough = lambda c: F.length(c) >= block
+    a, b = new.filter(enough(name)), known.filter(enough(known_name))
+
+    def cut_to(c: str, longest: Column) -> Column:
+        lengths = F.filter(F.sequence(F.greatest(F.lit(block), F.length(c) - gap), F.length(c)), lambda k: k <= longest)
+        return F.explode(F.transform(lengths, lambda k: F.substr(F.col(c), F.lit(1), k))).alias(key)
+
+    shorter_known = a.select("*", cut_to(name, F.length(name))).join(b.withColumn(key, F.col(known_name)), key).drop(key)
+    longer_known = a.withColumn(key, F.col(name)).join(b.select("*", cut_to(known_name, F.length(known_name) - 1)), key).drop(key)
+    return shorter_known.unionAll(longer_known)
 
 
 def ngrams(c: Column, n: int = 4) -> Column:

@@ -90,6 +90,11 @@ def test_prefix_and_bands(spark):
     a = spark.createDataFrame([("东海电缆有限公司",), ("西海电缆有限",), ("短名",)], "n string")
     b = spark.createDataFrame([("东海电缆有限",)], "k string")
     assert rows(matching.prefix_compatible(a, b, "n", "k"), "n") == [("东海电缆有限公司", "东海电缆有限")]
+    names = ["abcdef", "abcdefg", "abcdefgh", "abcdefx", "abcde", None, "abcdefghijklmno", "abcdefghijklmnop", "abcdef", "éééééé1"] + [f"abcdef{k:03d}" for k in range(40)]
+    both = [spark.createDataFrame(list(enumerate(names)), f"{c}id int, {c} string") for c in "nk"]
+    want = [(i, j) for i, x in enumerate(names) for j, y in enumerate(names) if x and y and min(len(x), len(y)) >= 6 and abs(len(x) - len(y)) <= 8 and (x.startswith(y) or y.startswith(x))]
+    got = matching.prefix_compatible(*both, "n", "k")
+    assert got.columns == ["nid", "n", "kid", "k"] and sorted((r["nid"], r["kid"]) for r in got.collect()) == sorted(want)
     gaps = spark.createDataFrame([(1, 1, 10.0), (2, 1, 50.0), (3, 2, 10.0)], "id int, page int, left double")
     boxes = spark.createDataFrame([(1, 12.0, "x"), (1, 51.0, "y"), (1, 49.0, "z")], "page int, left double, text string")
     assert rows(matching.band_matches(gaps, boxes, ["page"], ["left"], 3).select("id", "found"), "id") == [(1, "x"), (2, None), (3, None)]
