@@ -131,6 +131,18 @@ def owners_from_audit(reports: DataFrame, audit: DataFrame, key: str, owner: str
     return reports.join(one, key, "left").withColumn(owner, F.coalesce(owner, "__user")).drop("__user")
 
 
+def tasks_from_audit(reports: DataFrame, audit: DataFrame, key: str, named: str, tasks: str) -> DataFrame:
+    """Reports with the ``task`` that the audit lines naming them state: NULL without one, and where two tasks are named.
+
+    ``named`` and ``tasks`` are patterns whose first group is a report's id and a task's number; a line may hold several of
+    each, and a line without either, or without text, binds nothing.
+    """
+    found = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all("detail", F.lit(pattern), F.lit(1))))
+    pairs = audit.select("detail", found(named).alias("__id")).select(F.col("__id").try_cast("long").alias(key), found(tasks).alias("__task")).filter(F.col(key).isNotNull())
+    one = pairs.groupBy(key).agg(F.min("__task").alias("task"), F.max("__task").alias("__last")).filter("task = __last").drop("__last")
+    return reports.join(one, key, "left")
+
+
 def bound_scope(reports: DataFrame, scopes: DataFrame, on: list[str], category: str) -> DataFrame:
     """Reports with the one scope that has their keys; another category is a conflict."""
     per = scopes.groupBy(*on).agg(F.count("*").alias("__n"), F.min(category).alias("__category"), F.min("scope_id").alias("scope_id"))

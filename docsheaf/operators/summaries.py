@@ -57,6 +57,29 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.crossJoin, rows)
 
 
+def governance_summary(corrections: DataFrame, rules: DataFrame, cases: DataFrame, versions: DataFrame, runs: DataFrame, knowledge: str = "unknown") -> DataFrame:
+    """One row: pending corrections, draft rules, enabled cases, the active version and the last regression run.
+
+    Of several active versions the one with the least id counts; without one the version is the base version, and
+    without a run its columns are NULL.  ``knowledge`` stands in where the version names no knowledge version.
+    """
+    newest = lambda *columns: [F.max_by(c, "id").alias(f"run_{c}") for c in columns]
+    active = versions.filter("status = 'active'").agg(F.min("id").alias("active_id"), *[F.min_by(F.col(c), F.col("id")).alias(f"__{c}") for c in ("version_no", "name", "knowledge_version")])
+    named = active.select(
+        "active_id",
+        F.when(F.col("active_id").isNull(), "基础版").otherwise(F.concat(F.lit("V"), F.col("__version_no").cast("string"))).alias("iteration_version"),
+        F.coalesce("__name", F.lit("")).alias("iteration_name"),
+        F.coalesce(F.nullif(F.trim("__knowledge_version"), F.lit("")), F.lit(knowledge)).alias("knowledge_version"),
+    )
+    return side_by_side(
+        counters(corrections, pending_corrections=F.col("status") == "pending"),
+        counters(rules, draft_rules=F.col("status") == "draft"),
+        counters(cases, regression_cases=F.col("enabled")),
+        named,
+        runs.agg(F.max("id").alias("run_id"), *newest("total", "passed", "failed")),
+    )
+
+
 def first_per_part(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """For each key and field the first value that is not blank, by order."""
     return df.groupBy(key).agg(*[F.min_by(F.when(F.trim(f) != "", F.col(f)), F.when(F.trim(f) != "", F.col(order))).alias(f) for f in fields])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
-from docsheaf.operators import context, selection
+from docsheaf.operators import context, selection, summaries
 from docsheaf.plans.tables import table
 from docsheaf.plans.texts import part_key, part_size, part_type, parts, said
 
@@ -211,6 +211,40 @@ def created_and_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owned.join(fresh, "o_orderkey", "left").fillna(False, ["creates"])
 
 
+_NAMED, _TASKS = r"报告ID[：:]\s*(\d+)", r"任务\s*(S\d+)"
+
+
+@registered(f"""WITH a AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN '报告ID：' || l_orderkey || ' 已同步' WHEN 1 THEN '报告ID: ' || l_orderkey || ' 任务S' || l_suppkey WHEN 2 THEN '报告ID：' || l_orderkey || '、报告ID：' || l_orderkey + 1 || ' 任务 S' || l_suppkey || '，任务S' || l_suppkey
+WHEN 3 THEN CASE WHEN l_returnflag <> 'R' THEN '报告ID ' || l_orderkey || ' 任务S' || l_suppkey END END AS detail FROM lineitem),
+n AS (SELECT detail, unnest(regexp_extract_all(detail, '{_NAMED}', 1))::BIGINT AS k FROM a),
+t AS (SELECT k, unnest(regexp_extract_all(detail, '{_TASKS}', 1)) AS task FROM n),
+o AS (SELECT k, min(task) AS task FROM t GROUP BY 1 HAVING count(DISTINCT task) = 1)
+SELECT o_orderkey, task FROM orders LEFT JOIN o ON k = o_orderkey""")
+def tasks_from_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit lines of four spellings: without a task, with one, with two reports and a repeated task, and a damaged or missing text."""
+    order, kind = F.col("l_orderkey"), F.col("l_linenumber") % 4
+    task = said("任务S", F.col("l_suppkey"))
+    damaged = F.when(F.col("l_returnflag") != "R", said("报告ID ", order, " ", task))
+    double = said("报告ID：", order, "、报告ID：", order + 1, " 任务 S", F.col("l_suppkey"), "，", task)
+    detail = F.when(kind == 0, said("报告ID：", order, " 已同步")).when(kind == 1, said("报告ID: ", order, " ", task)).when(kind == 2, double).when(kind == 3, damaged)
+    return context.tasks_from_audit(orders(spark, sf_dir).select("o_orderkey"), lines(spark, sf_dir).select(detail.alias("detail")), "o_orderkey", _NAMED, _TASKS)
+
+
+@registered("""WITH v AS (SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_acctbal > 9000 ORDER BY c_custkey LIMIT 1)
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending_corrections, (SELECT count(*) FROM part WHERE p_size < 10) AS draft_rules, (SELECT count(*) FROM part WHERE p_size > 40) AS regression_cases,
+(SELECT c_custkey FROM v) AS active_id, coalesce((SELECT 'V' || c_nationkey FROM v), '基础版') AS iteration_version, coalesce((SELECT c_name FROM v), '') AS iteration_name, coalesce((SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'K' || c_nationkey END FROM v), 'unknown') AS knowledge_version,
+o_orderkey AS run_id, o_custkey AS run_total, o_custkey // 2 AS run_passed, o_custkey - o_custkey // 2 AS run_failed FROM orders ORDER BY o_orderkey DESC LIMIT 1""")
+def governance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as corrections and runs, parts as rules and cases, customers as versions."""
+    corrections = orders(spark, sf_dir).select(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("closed").alias("status"))
+    rules = parts(spark, sf_dir).select(F.when(part_size() < 10, "draft").otherwise("enabled").alias("status"), (part_size() > 40).alias("enabled"))
+    nation = F.col("c_nationkey")
+    versions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), nation.alias("version_no"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 9000, "active").otherwise("archived").alias("status"), F.when(nation % 2 == 0, said("K", nation)).otherwise(" ").alias("knowledge_version"))
+    half = F.floor(F.col("o_custkey") / 2)
+    runs = orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("total"), half.alias("passed"), (F.col("o_custkey") - half).alias("failed"))
+    return summaries.governance_summary(corrections, rules, rules, versions, runs)
+
+
 @registered("""WITH s AS (SELECT p_brand, p_size, count(*) AS n, min(p_type) AS t, min(p_partkey) AS id FROM part GROUP BY 1, 2),
 j AS (SELECT r.p_partkey, CASE WHEN n IS NULL THEN 'unbound' WHEN n > 1 THEN 'ambiguous' WHEN r.p_type <> t THEN 'category_conflict' ELSE 'bound' END AS status, id FROM (SELECT p_partkey, p_brand, p_size + p_partkey % 2 AS p_size, p_type FROM part) AS r LEFT JOIN s ON s.p_brand = r.p_brand AND s.p_size = r.p_size)
 SELECT p_partkey, status, CASE WHEN status = 'bound' THEN id END AS scope_id FROM j""")

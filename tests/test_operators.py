@@ -237,3 +237,23 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.append_versions(v, spark.createDataFrame([(1, f"f{n}")], "report_id int, item string"), f"file://{tmp_path}/r")
     assert spark.read.parquet(f"file://{tmp_path}/r/versions").count() == 2 and spark.read.parquet(f"file://{tmp_path}/r/findings").first()["item"] == "f2"
     assert "| a | b |" in sinks.markdown(spark.createDataFrame([(1, 0, "a", "b", None, "pass")], "k int, o int, item string, reported string, required string, verdict string"), "k", "o").first()["text"]
+
+
+def test_tasks_from_audit_are_unique_or_none(spark):
+    from docsheaf.operators import context
+
+    texts = ["报告ID：12 任务 S7", "报告ID:12，任务S7", "报告ID：1 任务S8", "报告ID：1 任务S9", "报告ID：3", "任务S4", None, "报告ID：99999999999999999999 任务S1", "报告ID：4、报告ID：5 任务S2 任务S2"]
+    audit = spark.createDataFrame([(t,) for t in texts], "detail string")
+    reports = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 12, None)], "k long")
+    bound = context.tasks_from_audit(reports, audit, "k", r"报告ID[：:]\s*(\d+)", r"任务\s*(S\d+)").collect()
+    assert {r["k"]: r["task"] for r in bound} == {1: None, 2: None, 3: None, 4: "S2", 5: "S2", 12: "S7", None: None} and len(bound) == 7
+
+
+def test_governance_summary_without_versions_and_runs(spark):
+    from docsheaf.operators import summaries
+
+    said = spark.createDataFrame([("pending", True), ("draft", False), (None, None)], "status string, enabled boolean")
+    versions = spark.createDataFrame([(3, 4, "b", "active", "K1"), (2, 3, "a", "active", " "), (1, 1, "x", "archived", "K0"), (9, 9, "y", None, None)], "id long, version_no int, name string, status string, knowledge_version string")
+    runs = spark.createDataFrame([(1, 5, 5, 0), (7, 6, 4, None)], "id long, total long, passed long, failed long")
+    assert tuple(summaries.governance_summary(said, said, said, versions, runs, "K9").first()) == (1, 1, 1, 2, "V3", "a", "K9", 7, 6, 4, None)
+    assert tuple(summaries.governance_summary(said, said, said, versions.limit(0), runs.limit(0)).first()) == (1, 1, 1, None, "基础版", "", "unknown", None, None, None, None)
