@@ -57,6 +57,28 @@ def missing_suppressed(findings: DataFrame, checks: DataFrame, on: list[str], is
     return findings.filter(~F.coalesce(is_missing, F.lit(False))).unionByName(claims.join(evidence, on, "left_anti"))
 
 
+#: What tells findings apart, and what a conflict between segments says.
+FINDING = ("item", "reported", "should_be", "standard", "severity")
+CONFLICT = {"item": "分段结论冲突", "reported": "不同分段同时出现符合与不符合结论", "should_be": "核对原始页面和试验数据后人工确认", "standard": "", "severity": "suggestion"}
+
+
+def merge_policy(findings: DataFrame, checks: DataFrame, rules: DataFrame, code: str, keys: list[str], project: str, segment: str, verdict: str, evidenced: Column, is_missing: Column) -> DataFrame:
+    """(keys, FINDING, segments): findings of all segments merged, if the rule ``code`` has an active version of kind merge_policy.
+
+    Then equal findings are one with all its segments, claims of something missing go where a check of their project has
+    evidence, and each project that passes and fails gets a finding.  Without such a rule (none, no active version, the
+    newest active one of another kind) every finding stays as it is.  Missing fields are empty.
+    """
+    gate = rules.filter((F.col("code") == code) & (F.col("status") == "active")).agg(F.max_by("kind", F.struct("version", "id")).alias("__kind")).select(F.coalesce(F.col("__kind") == "merge_policy", F.lit(False)).alias("__on"))
+    gated = lambda rows, on: rows.crossJoin(gate).filter(F.col("__on") == on).drop("__on")  # noqa: E731  # one row
+    fields = [F.coalesce(c, F.lit("")).alias(c) for c in FINDING]
+    kept = missing_suppressed(gated(findings, True), gated(checks, True), [*keys, project], is_missing, evidenced)
+    merged = kept.select(*keys, *fields, segment).groupBy(*keys, *FINDING).agg(F.array_sort(F.collect_set(segment)).alias("segments"))
+    agreed = consensus(gated(checks, True), [*keys, project], verdict, evidenced, segment, segment).filter("conflict")
+    conflicts = agreed.select(*keys, *[(F.concat(project, F.lit(v)) if c == "item" else F.lit(v)).alias(c) for c, v in CONFLICT.items()], "segments")
+    return merged.unionByName(conflicts).unionByName(gated(findings, False).select(*keys, *fields, F.array(segment).alias("segments")))
+
+
 def budget(rows: DataFrame, keys: list[str], order: str, is_pass: Column, limit: int) -> DataFrame:
     """All rows that are not passes, and the first passes that the budget leaves room for."""
     w = Window.partitionBy(*keys)

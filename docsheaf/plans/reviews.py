@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
-from docsheaf.operators import context, selection, summaries
+from docsheaf.operators import context, selection, summaries, verdicts
 from docsheaf.plans.tables import table
 from docsheaf.plans.texts import part_key, part_size, part_type, parts, said
 
@@ -211,6 +211,25 @@ def created_and_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owned.join(fresh, "o_orderkey", "left").fillna(False, ["creates"])
 
 
+@registered("""WITH c AS (SELECT l_suppkey, 'P' || l_partkey % 40 AS project, l_linenumber AS seg, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'R' THEN 'fail' END AS v, l_quantity > 30 AS e, CASE WHEN l_linenumber % 3 = 0 THEN '未提供记录' WHEN l_linenumber % 3 = 1 THEN 'q' || (l_quantity % 5)::INT END AS reported FROM lineitem),
+g AS (SELECT coalesce((SELECT CASE WHEN p_size % 2 = 0 THEN 'merge_policy' ELSE 'other' END FROM part WHERE p_partkey % 3 = 0 AND p_size <> 50 AND p_size % 2 = 0 ORDER BY p_size DESC, p_partkey DESC LIMIT 1) = 'merge_policy', false) AS active),
+m AS (SELECT l_suppkey, project AS item, coalesce(reported, '') AS reported, list_sort(list(DISTINCT seg)) AS segs FROM c WHERE NOT coalesce(regexp_matches(reported, '未提供'), false) OR NOT EXISTS (SELECT 1 FROM c AS d WHERE d.l_suppkey = c.l_suppkey AND d.project = c.project AND d.e) GROUP BY 1, 2, 3),
+k AS (SELECT l_suppkey, project, list_sort(list(DISTINCT seg)) AS segs FROM (SELECT *, bool_or(e) OVER (PARTITION BY l_suppkey, project) AS has FROM c) WHERE e OR NOT has GROUP BY 1, 2 HAVING bool_or(v = 'pass') AND bool_or(v = 'fail'))
+SELECT l_suppkey, item, reported, array_to_string(segs, ',') AS segments FROM m, g WHERE active UNION ALL SELECT l_suppkey, project || '分段结论冲突', '不同分段同时出现符合与不符合结论', array_to_string(segs, ',') FROM k, g WHERE active
+UNION ALL SELECT l_suppkey, project, coalesce(reported, ''), seg::VARCHAR FROM c, g WHERE NOT active""")
+def merge_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as checks and findings of a supplier's projects, line numbers as segments; parts as versions of the rule."""
+    kind, number = F.col("l_returnflag"), F.col("l_linenumber")
+    reported = F.when(number % 3 == 0, "未提供记录").when(number % 3 == 1, said("q", (F.col("l_quantity") % 5).cast("int")))
+    rows = lines(spark, sf_dir).select("l_suppkey", said("P", F.col("l_partkey") % 40).alias("project"), number.alias("seg"), F.when(kind == "A", "pass").when(kind == "R", "fail").alias("verdict"), (F.col("l_quantity") > 30).alias("e"), reported.alias("reported"))
+    empty = F.lit(None).cast("string")
+    findings = rows.select("l_suppkey", "project", "seg", F.col("project").alias("item"), "reported", empty.alias("should_be"), empty.alias("standard"), empty.alias("severity"))
+    status = F.when(part_size() == 50, "archived").otherwise("active")
+    rules = parts(spark, sf_dir).filter((part_key() % 3 == 0) & (part_size() % 2 == 0)).select(F.lit("merge").alias("code"), status.alias("status"), part_size().alias("version"), part_key().alias("id"), F.lit("merge_policy").alias("kind"))
+    out = verdicts.merge_policy(findings, rows, rules, "merge", ["l_suppkey"], "project", "seg", "verdict", F.col("e"), F.regexp_like("reported", F.lit("未提供")))
+    return out.select("l_suppkey", "item", "reported", F.array_join(F.col("segments").cast("array<string>"), ",").alias("segments"))
+
+
 _NAMED, _TASKS = r"报告ID[：:]\s*(\d+)", r"任务\s*(S\d+)"
 
 

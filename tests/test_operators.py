@@ -257,3 +257,24 @@ def test_governance_summary_without_versions_and_runs(spark):
     runs = spark.createDataFrame([(1, 5, 5, 0), (7, 6, 4, None)], "id long, total long, passed long, failed long")
     assert tuple(summaries.governance_summary(said, said, said, versions, runs, "K9").first()) == (1, 1, 1, 2, "V3", "a", "K9", 7, 6, 4, None)
     assert tuple(summaries.governance_summary(said, said, said, versions.limit(0), runs.limit(0)).first()) == (1, 1, 1, None, "基础版", "", "unknown", None, None, None, None)
+
+
+def test_merge_policy_needs_an_active_rule(spark):
+    from pyspark.sql import functions as F
+
+    from docsheaf.operators import verdicts
+
+    checks = spark.createDataFrame([(1, "a", 1, "pass", True), (1, "a", 2, "fail", True), (1, "b", 1, "pass", None)], "k int, p string, seg int, v string, e boolean")
+    findings = spark.createDataFrame([(1, "a", 1, "x", "missing"), (1, "b", 1, "y", "missing"), (1, "b", 2, "z", None), (1, "b", 3, "z", ""), (None, "b", 1, "z", None)], "k int, p string, seg int, item string, reported string")
+    findings = findings.withColumns({c: F.lit(None).cast("string") for c in ("should_be", "standard", "severity")})
+
+    def run(*rows):
+        rules = spark.createDataFrame(list(rows), "code string, kind string, status string, version int, id int")
+        out = verdicts.merge_policy(findings, checks, rules, "m", ["k"], "p", "seg", "v", F.col("e"), F.col("reported") == "missing")
+        return sorted((str(r["k"]), r["item"], r["segments"]) for r in out.collect())
+
+    merged = [("1", "a分段结论冲突", [1, 2]), ("1", "y", [1]), ("1", "z", [2, 3]), ("None", "z", [1])]
+    apart = [("1", "x", [1]), ("1", "y", [1]), ("1", "z", [2]), ("1", "z", [3]), ("None", "z", [1])]
+    assert run(("m", "merge_policy", "active", 1, 1), ("m", "other", "archived", 2, 2)) == merged
+    assert run(("m", "merge_policy", "active", 1, 1), ("m", "other", "active", 2, 2)) == apart
+    assert run() == run(("n", "merge_policy", "active", 1, 1)) == run(("m", "merge_policy", None, 1, 1)) == apart
