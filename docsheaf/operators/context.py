@@ -16,17 +16,22 @@ def chosen_models(texts: DataFrame, models: DataFrame, key: str, band: int = 15,
     """(key, model_id, score): model codes and aliases that a text names, without those inside a longer hit, the best few.
 
     ``texts`` has (key, token) rows of what it names; ``models`` has model_id, code, aliases (array).  A full code scores
-    100, an alias 20, and a hit with a space 30 more.
+    100, an alias 20, and a hit with a space 30 more.  Of the models that share a name and a score, only the first ``most``
+    can be among a key's best, so no more are joined, however many models a name has.
     """
     names = models.select("model_id", F.explode(F.concat(F.array(F.struct(N.model_code("code").alias("name"), F.lit(100).alias("score"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(N.model_code(a).alias("name"), F.lit(20).alias("score"))))).alias("n")).select("model_id", "n.*").filter("name <> ''")
-    hits = texts.select(key, N.model_code("token").alias("name")).distinct().join(names, "name")
-    hits = hits.withColumn("score", F.col("score") + F.when(F.contains("name", F.lit(" ")), 30).otherwise(0))
-    per = hits.groupBy(key).agg(F.collect_set("name").alias("__all"))
-    alone = hits.join(per, key).filter(~F.exists("__all", lambda o: (F.length(o) > F.length("name")) & F.contains(o, F.col("name")))).drop("__all")
-    best = alone.groupBy(key, "model_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy(key)
-    near = best.withColumn("__top", F.max("score").over(w)).filter(F.col("score") >= F.col("__top") - band).drop("__top")
-    return selection.capped(near, [key], [F.col("score").desc(), F.col("model_id")], most)
+    names = selection.capped(names.withColumn("score", F.col("score") + F.when(F.contains("name", F.lit(" ")), 30).otherwise(0)).distinct(), ["name", "score"], [F.col("model_id")], most)
+    named = names.groupBy("name").agg(F.collect_list(F.struct("model_id", "score")).alias("models"))
+    hits = texts.filter(F.col(key).isNotNull()).select(key, N.model_code("token").alias("name")).join(named, "name")
+    inside = lambda h, o: (F.length(o["name"]) > F.length(h["name"])) & F.contains(o["name"], h["name"])
+    per = hits.groupBy(key).agg(F.collect_set(F.struct("name", "models")).alias("__all"))
+    alone = F.filter("__all", lambda h: ~F.exists("__all", lambda o: inside(h, o)))
+    per = per.select(key, F.flatten(F.transform(alone, lambda h: h["models"])).alias("__models"))
+    top = lambda i: F.array_max(F.transform(F.filter("__models", lambda m: m["model_id"].eqNullSafe(i)), lambda m: m["score"]))
+    ids = F.array_distinct(F.transform("__models", lambda m: m["model_id"]))
+    per = per.select(key, F.array_sort(F.transform(ids, lambda i: F.struct((-top(i)).alias("less"), i.alias("model_id")))).alias("__best"))
+    near = F.slice(F.filter("__best", lambda b: b["less"] <= F.get("__best", F.lit(0))["less"] + band), 1, most)
+    return per.select(key, F.posexplode(near).alias("pos", "b")).select(key, "b.model_id", (-F.col("b.less")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def rule_parameters(chosen: DataFrame, matrix: DataFrame, methods: DataFrame, parameters: DataFrame, key: str, most: int = 60) -> DataFrame:

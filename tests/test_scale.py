@@ -1,6 +1,7 @@
 """What keeps the work of a query in proportion to its tables: plans and bounds, beside the results."""
 
 import __spark_entry__
+from docsheaf.operators import context
 
 
 def plan(df):
@@ -9,3 +10,11 @@ def plan(df):
 
 def test_lines_are_not_sent_to_the_driver(spark, sf_dir):
     assert "BuildLeft" not in plan(__spark_entry__.queries()["consecutive_lines"](spark, sf_dir))
+
+
+def test_chosen_models_of_a_name_that_many_models_share(spark):
+    texts = spark.createDataFrame([(1, "ab c"), (1, "ab"), (2, "AB"), (2, "z"), (None, "ab")], "k int, token string")
+    models = spark.createDataFrame([(i, "AB" if i % 2 else "AB C", ["Z", "AB"] if i == 40 else None) for i in range(100)], "model_id int, code string, aliases array<string>")
+    got = context.chosen_models(texts, models, "k", 90, 3)
+    assert sorted((r["k"], r["model_id"], r["score"], r["rank"]) for r in got.collect()) == [(1, 0, 130, 1), (1, 2, 130, 2), (1, 4, 130, 3), (2, 1, 100, 1), (2, 3, 100, 2), (2, 5, 100, 3)]
+    assert "WindowGroupLimit [name" in plan(got)
