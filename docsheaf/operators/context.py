@@ -34,24 +34,57 @@ def chosen_models(texts: DataFrame, models: DataFrame, key: str, band: int = 15,
     return per.select(key, F.posexplode(near).alias("pos", "b")).select(key, "b.model_id", (-F.col("b.less")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+def shared_models(chosen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, chosen) of chosen models (key, model_id, series_id): the keys with their ``choice``, and each choice's models once.
+
+    Keys that chose the same models and series get the same rules, so those are looked up once for a choice.
+    """
+    pairs = F.array_sort(F.collect_set(F.struct("model_id", "series_id")))
+    keys = chosen.filter(F.col(key).isNotNull()).groupBy(key).agg(pairs.alias("__pairs")).withColumn("choice", F.to_json("__pairs"))
+    return keys.select(key, "choice"), keys.groupBy("choice").agg(F.first("__pairs").alias("__pairs")).select("choice", F.explode("__pairs").alias("p")).select("choice", "p.*")
+
+
 def rule_parameters(chosen: DataFrame, matrix: DataFrame, methods: DataFrame, parameters: DataFrame, key: str, most: int = 60) -> DataFrame:
     """Parameters of the methods that chosen models (key, model_id, series_id) need, each once, the most urgent first.
 
     Methods are those that a model's verified matrix rows name, and all verified ones of their items unless the item does
     not apply.  A parameter of another model or series is left out.
+
+    Parameters hang on what asks for them, a method or an item with all its methods.  Of those that any key may have,
+    only the first ``most`` of a method or an item can be among a key's first, so no more are joined; those of a series
+    likewise, and those of a model meet the keys that chose it.
     """
-    rows = chosen.join(selection.governed(matrix), "model_id")
-    named = rows.filter("test_method_id is not null").select(key, "test_method_id")
-    items = rows.filter("applicability_status <> 'not_applicable'").select(key, "test_item_id")
-    of_items = items.join(selection.governed(methods).select("test_item_id", F.col("id").alias("test_method_id")), "test_item_id").select(key, "test_method_id")
-    wanted = named.unionByName(of_items).distinct()
+    urgent = [F.col("priority").desc(), F.col("id")]
+    asks = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    rows = selection.governed(matrix).select("model_id", F.explode(F.array(asks("method", "test_method_id"), F.when(F.col("applicability_status") != "not_applicable", asks("item", "test_item_id")))).alias("asks"))
+    wanted = chosen.select(key, "model_id").join(rows.filter("asks is not null").distinct(), "model_id").select(key, "asks").distinct()
+    same = ["test_method_id", N.model_code("parameter_name"), "operator", "parameter_value", N.model_code(F.coalesce("unit", F.lit("")))]
+
+    def each_once(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, *same).orderBy(*urgent))).filter("__r = 1").drop("__r")
+
     rules = selection.governed(parameters).withColumnsRenamed({"model_id": "__model", "series_id": "__series"})
-    hits = wanted.join(rules, "test_method_id")
-    own = chosen.groupBy(key).agg(F.collect_set("model_id").alias("__models"), F.collect_set("series_id").alias("__all_series"))
-    hits = hits.join(own, key).filter(F.coalesce(F.array_contains("__models", F.col("__model")), F.lit(True))).filter(F.col("__series").isNull() | (F.size("__all_series") == 0) | F.array_contains("__all_series", F.col("__series")))
-    first = Window.partitionBy(key, "test_method_id", N.model_code("parameter_name"), "operator", "parameter_value", N.model_code(F.coalesce("unit", F.lit("")))).orderBy(F.col("priority").desc(), "id")
-    once = hits.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r", "__models", "__all_series", "__model", "__series")
-    return selection.capped(once, [key], [F.col("priority").desc(), F.col("id")], most)
+    columns = [c for c in rules.columns if c not in ("__model", "__series")]
+    of_items = selection.governed(methods).select(F.col("id").alias("test_method_id"), asks("item", "test_item_id").alias("asks")).filter("asks is not null").distinct()
+
+    def asked(df: DataFrame) -> DataFrame:
+        own = df.filter("test_method_id is not null").withColumn("asks", asks("method", "test_method_id"))
+        return own.unionByName(df.join(of_items, "test_method_id").select(*own.columns))
+
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        return selection.capped(asked(each_once(df, *keys)), ["asks", *keys], urgent, most).drop("rank")
+
+    every, of_models = rules.filter("__model is null"), rules.filter("__model is not null")
+    free, of_series = every.filter("__series is null"), every.filter("__series is not null")
+    series = chosen.filter("series_id is not null").select(key, F.col("series_id").alias("__series")).distinct()
+    stray = chosen.select(key).distinct().join(series.select(key).distinct(), key, "left_anti")
+    take = lambda df: df.select(key, *columns)
+    models = chosen.select(key, F.col("model_id").alias("__model")).distinct()
+    own = wanted.join(models, key).join(asked(of_models), ["asks", "__model"])
+    allowed = own.join(series.withColumnRenamed("__series", "__own"), key, "left").filter(F.col("__series").isNull() | F.col("__own").isNull() | (F.col("__own") == F.col("__series")))
+    hits = take(wanted.join(first(free), "asks")).unionByName(take(allowed))
+    hits = hits.unionByName(take(wanted.join(series, key).join(first(of_series, "__series"), ["asks", "__series"]))).unionByName(take(wanted.join(stray, key).join(first(of_series), "asks")))
+    return selection.capped(each_once(hits, key), [key], urgent, most)
 
 
 def context_text(parameters: DataFrame, key: str, most: int = 14_000) -> DataFrame:

@@ -151,7 +151,9 @@ def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("test_item_id"))
     customer = table(spark, sf_dir, "customer")
     rules = customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("test_method_id"), F.col("c_mktsegment").alias("parameter_name"), F.lit("=").alias("operator"), F.lit("").alias("parameter_value"), F.lit("mm").alias("unit"), F.floor("c_acctbal").alias("priority"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("model_id"), F.lit(None).cast("string").alias("series_id"), F.when(F.col("c_acctbal") > 0, "true").otherwise("false").alias("enabled_for_review"))
-    return context.context_text(context.rule_parameters(chosen, matrix, methods, rules, "o_orderkey", 5), "o_orderkey")
+    keys, choices = context.shared_models(chosen, "o_orderkey")
+    texts = context.context_text(context.rule_parameters(choices, matrix, methods, rules, "choice", 5), "choice")
+    return keys.join(texts, "choice").select("o_orderkey", "context")
 
 
 @registered("""WITH h AS (SELECT o_orderkey, p_partkey, CASE WHEN contains(p_name, ' ') THEN 130 ELSE 100 END AS s, p_name FROM orders JOIN part ON p_partkey IN (o_custkey, o_custkey + 1)),

@@ -18,3 +18,31 @@ def test_chosen_models_of_a_name_that_many_models_share(spark):
     got = context.chosen_models(texts, models, "k", 90, 3)
     assert sorted((r["k"], r["model_id"], r["score"], r["rank"]) for r in got.collect()) == [(1, 0, 130, 1), (1, 2, 130, 2), (1, 4, 130, 3), (2, 1, 100, 1), (2, 3, 100, 2), (2, 5, 100, 3)]
     assert "WindowGroupLimit [name" in plan(got)
+
+
+def test_rule_parameters_join_only_the_first_of_a_method(spark):
+    chosen = spark.createDataFrame([(1, 10, "a"), (1, 11, None), (2, 12, None), (3, 10, "a"), (3, 11, None), (4, 10, "b")], "k int, model_id int, series_id string")
+    matrix = spark.createDataFrame([(m, 1, 5, "required", "verified") for m in (10, 11, 12)] + [(10, None, 6, "not_applicable", "verified"), (11, 3, 6, "required", "open")], "model_id int, test_method_id int, test_item_id int, applicability_status string, verification_status string")
+    methods = spark.createDataFrame([(2, 5), (2, 5), (3, 6)], "id int, test_item_id int")
+    rules = [(i, 1 + i % 3, f"p{i % 40}", "=", "", "mm", i % 7, None, None) for i in range(300)]
+    rules += [(900, 1, "p0", "=", "", "mm", 9, 12, None), (901, 2, "own", "=", "", None, 9, 10, "b"), (902, 2, "own", "=", "", None, 8, 11, "a"), (903, 1, "s", "=", "", "", 10, None, "a"), (904, 2, "s", "=", "", "", 10, None, "b")]
+    names = ["id", "test_method_id", "parameter_name", "operator", "parameter_value", "unit", "priority", "model_id", "series_id"]
+    parameters = spark.createDataFrame(rules, "id int, test_method_id int, parameter_name string, operator string, parameter_value string, unit string, priority int, model_id int, series_id string")
+
+    def plain(key, most):
+        models = {m for k, m, _ in chosen.collect() if k == key}
+        series = {s for k, _, s in chosen.collect() if k == key and s}
+        best = {}
+        for r in sorted((dict(zip(names, r, strict=True)) for r in rules), key=lambda r: (-r["priority"], r["id"])):
+            if r["test_method_id"] in (1, 2) and r["model_id"] in (None, *models) and (r["series_id"] is None or not series or r["series_id"] in series):
+                best.setdefault((r["test_method_id"], r["parameter_name"]), r["id"])
+        order = {r[0]: (-r[6], r[0]) for r in rules}
+        return sorted(best.values(), key=order.get)[:most]
+
+    for most in (3, 200):
+        got = context.rule_parameters(chosen, matrix, methods, parameters, "k", most)
+        found = sorted((r["k"], r["rank"], r["id"]) for r in got.collect())
+        assert [[r[2] for r in found if r[0] == key] for key in (1, 2, 3, 4)] == [plain(key, most) for key in (1, 2, 3, 4)]
+    assert "WindowGroupLimit [asks" in plan(got)
+    keys, choices = context.shared_models(chosen, "k")
+    assert keys.count() == 4 and choices.select("choice").distinct().count() == 3
