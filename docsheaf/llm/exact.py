@@ -99,16 +99,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each digest group stays, with its own columns.
+    """Pipeline stage: one row of each digest group stays, with its own columns; a new index, anti-joined and appended to, names its id.
 
     Rows are known by id and text, so rows that share an id, null too, but no digest stay side by side.  A row
     that stands several times is counted where it is read, so its copies are one entry in any shuffle of keys.
     """
     k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
     keys = dict(zip((k1, k2), row_keys(docs["doc_id"], docs["text"]), strict=True))
-    rows = digests(docs, more=[k.alias(n) for n, k in keys.items()]).groupBy("digest", "n_chars", "id", k1, k2).agg(F.count("*").alias("copies"))
-    best = F.max(F.struct("n_chars", (-F.col("id")).alias("neg"), k1, k2, "copies")).alias("best")
-    chosen = rows.groupBy("digest").agg(best).select(f"best.{k1}", f"best.{k2}", "best.copies")
+    rows = cut(digests(docs, more=[k.alias(n) for n, k in keys.items()]).groupBy("digest", "n_chars", "id", k1, k2).agg(F.count("*").alias("copies")))
+    index = DigestIndex(spark, new_path(spark, "digest-index"))
+    groups = cut(index.ingest(rows.select("digest", "n_chars", "id")).select(F.col("digest").alias("own"), "keep_id"))
+    index.drop()
+    kept = rows.join(groups, (rows["digest"] == groups["own"]) & rows["id"].eqNullSafe(groups["keep_id"]))
+    chosen = kept.groupBy("digest").agg(F.max(F.struct("n_chars", k1, k2, "copies")).alias("best")).select(f"best.{k1}", f"best.{k2}", "best.copies")
     return chosen_rows(docs, keys, chosen)
 
 
