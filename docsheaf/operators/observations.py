@@ -37,18 +37,18 @@ def labelled_boxes(boxes: DataFrame, keys: list[str], labels: dict[str, str], va
     item = F.coalesce(*[F.when(F.regexp_like("text", F.lit(p)), F.lit(n)) for n, p in labels.items()], F.lit(None).cast("string"))
     named = boxes.withColumn("item", item).filter("item is not null").select(*keys, "item", F.col("right").alias("__from"), F.col("top").alias("__y"))
     values = boxes.filter(F.regexp_like(F.trim("text"), F.lit(f"^(?:{value})$"))).select(*keys, F.col("left").alias("__at"), F.col("top").alias("__vy"), F.trim("text").alias("__value"))
-    hits = named.join(values, keys).filter((F.col("__at") >= F.col("__from")) & (F.abs(F.col("__vy") - F.col("__y")) <= height))
+    hits = named.join(values.hint("merge"), keys).filter((F.col("__at") >= F.col("__from")) & (F.abs(F.col("__vy") - F.col("__y")) <= height))
     per = hits.groupBy(*keys, "item").agg(F.count("*").alias("__n"), F.min("__value").alias("value"))
     times = named.groupBy(*keys, "item").agg(F.count("*").alias("__labels"))
     reason = F.when(F.col("__labels") > 1, "label_not_unique").when(F.col("__n").isNull(), "no_value").when(F.col("__n") > 1, "several_values")
-    return times.join(per, [*keys, "item"], "left").select(*keys, "item", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
+    return times.join(per.hint("merge"), [*keys, "item"], "left").select(*keys, "item", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
 
 
 def element_rows(grid: DataFrame, keys: list[str], elements: Sequence[str]) -> DataFrame:
     """(keys, element, specimen, value) of grids (row_no, col_no, text) whose first column names elements and first row specimens."""
     names = grid.filter("row_no = 0 and col_no > 0").select(*keys, "col_no", F.trim("text").alias("specimen"))
     rows = grid.filter(F.col("col_no") == 0).select(*keys, "row_no", F.trim("text").alias("element")).filter(F.col("element").isin(*elements))
-    return grid.join(rows, [*keys, "row_no"]).join(names, [*keys, "col_no"]).select(*keys, "element", "specimen", F.trim("text").alias("value"))
+    return grid.join(rows.hint("merge"), [*keys, "row_no"]).join(names.hint("merge"), [*keys, "col_no"]).select(*keys, "element", "specimen", F.trim("text").alias("value"))
 
 
 def same_issue(a_concept: Column, b_concept: Column, a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from docsheaf.functions import reports as R
 from docsheaf.functions import scopes
 from docsheaf.operators import evidence, governance, listing, matching, observations, packs, privacy, requirements, rulepack, sampling, segments, summaries, verdicts, versions
 from docsheaf.plans.reviews import lines, orders
-from docsheaf.plans.tables import table
+from docsheaf.plans.tables import dealt, table
 from docsheaf.plans.texts import part_key, part_size, part_type, parts, said
 from docsheaf.sources import files, sinks
 
@@ -63,7 +63,7 @@ SELECT p_partkey, 't0r' || x.r || 'c' || x.c AS cell_id, x.t AS text, x.r = 0 AS
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = files.cells(parts(spark, sf_dir).select("p_partkey", _grid_html().alias("html")), ["p_partkey"], "html")
     head = files.header_rows(grid, ["p_partkey"], {"item": ["项目", "检测项目"], "required": ["要求"], "result": ["结果"]})
-    return grid.join(head.withColumnRenamed("header_row", "row_no").withColumn("header", F.lit(True)), ["p_partkey", "table_no", "row_no"], "left").select("p_partkey", "cell_id", "text", F.coalesce("header", F.lit(False)).alias("header"))
+    return grid.join(head.withColumnRenamed("header_row", "row_no").withColumn("header", F.lit(True)).hint("merge"), ["p_partkey", "table_no", "row_no"], "left").select("p_partkey", "cell_id", "text", F.coalesce("header", F.lit(False)).alias("header"))
 
 
 @registered("""SELECT p_partkey, r AS row_no, CASE r WHEN 0 THEN p_type ELSE p_type END AS owner, CASE r WHEN 0 THEN p_type || ' | ' || p_size ELSE 'cond ' || p_size END AS line FROM part CROSS JOIN (VALUES (0), (1)) AS v(r)""")
@@ -145,7 +145,7 @@ def checked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT l_orderkey, l_linenumber, a.l_orderkey IS NULL OR b.k IS NULL OR (l_orderkey % 7 = 0 AND l_linenumber = 1) AS bad, b.k FROM a FULL JOIN b USING (l_orderkey, l_linenumber))
 SELECT l_orderkey, l_linenumber AS page, concat_ws(chr(10), 'p' || l_linenumber, k) AS text, bool_or(bad) OVER (PARTITION BY l_orderkey) AS conflict FROM j""")
 def page_supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = lines(spark, sf_dir).groupBy("l_orderkey", F.col("l_linenumber").alias("page")).agg(F.min("l_partkey").alias("k"))
+    pages = dealt(lines(spark, sf_dir), "l_orderkey", "l_linenumber", rows=250_000).groupBy("l_orderkey", F.col("l_linenumber").alias("page")).agg(F.min("l_partkey").alias("k"))
     first = pages.select("l_orderkey", "page", said("p", F.col("page")).alias("text"), F.lit("id").alias("identifier"))
     more = pages.filter("page < 6").select("l_orderkey", "page", F.col("k").cast("string").alias("text"), F.when((F.col("l_orderkey") % 7 == 0) & (F.col("page") == 1), "other").otherwise("id").alias("identifier"))
     return matching.supplemented(first, more, "l_orderkey", "page", "identifier")

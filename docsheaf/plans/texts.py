@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsheaf.functions import normalize as N
 from docsheaf.functions import reports as R
-from docsheaf.plans.tables import table
+from docsheaf.plans.tables import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def said(*parts: str | Column) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey")
 
 
 def part_key() -> Column:

@@ -1,7 +1,9 @@
 """What keeps the work of a query in proportion to its tables: plans and bounds, beside the results."""
 
 import __spark_entry__
-from docsheaf.operators import context
+from docsheaf.llm import exact
+from docsheaf.operators import context, matching
+from docsheaf.plans.tables import dealt
 
 
 def plan(df):
@@ -46,3 +48,33 @@ def test_rule_parameters_join_only_the_first_of_a_method(spark):
     assert "WindowGroupLimit [asks" in plan(got)
     keys, choices = context.shared_models(chosen, "k")
     assert keys.count() == 4 and choices.select("choice").distinct().count() == 3
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    assert dealt(spark.range(60_000), "id").rdd.getNumPartitions() == 3
+    few = spark.range(25_000)
+    assert dealt(few, "id") is few
+
+
+def test_tables_of_a_row_each_are_merged(spark, sf_dir):
+    for name in ("reference_gates", "table_grid", "box_observations"):
+        assert "BroadcastHashJoin" not in plan(__spark_entry__.queries()[name](spark, sf_dir)), name
+
+
+def test_groups_stream_and_supplements_join_once(spark, sf_dir):
+    for name in ("page_text_lines", "column_witnesses"):
+        assert "FlatMapGroupsInPandas" not in plan(__spark_entry__.queries()[name](spark, sf_dir)), name
+    pages = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, "b", "x"), (2, 1, "c", "x"), (None, 1, "d", "x")], "doc int, page int, text string, i string")
+    more = spark.createDataFrame([(1, 1, "A", "x"), (2, 1, "C", "x")], "doc int, page int, text string, i string")
+    got = matching.supplemented(pages, more, "doc", "page", "i")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a\nA", True), (1, 2, "b", True), (2, 1, "c\nC", False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_exact_stage_goes_through_the_index(spark, sf_dir, monkeypatch):
+    seen = []
+    ingest = exact.DigestIndex.ingest
+    monkeypatch.setattr(exact.DigestIndex, "ingest", lambda self, rows: seen.append(self) or ingest(self, rows))
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab  "), (None, "c"), (None, "c"), (4, "c"), (4, " c")], "doc_id long, text string")
+    assert sorted(map(tuple, exact.stage(spark, docs, sf_dir).collect())) == [(2, "ab  "), (4, " c")]
+    assert len(seen) == 1
