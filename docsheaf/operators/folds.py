@@ -6,17 +6,17 @@ is a few calls, not a DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
-def fold_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], out: list[T.StructField]) -> DataFrame:
+def fold_groups(df: DataFrame, keys: list[str], order: Sequence[str | Column], columns: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], out: list[T.StructField]) -> DataFrame:
     """(keys, out): ``fold`` maps the tuples (columns) of a group, in order, to result tuples."""
     n = len(keys)
     names = [*keys, *[f.name for f in out]]

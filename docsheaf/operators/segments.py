@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsheaf.operators.folds import fold_groups
+
 PAGE_MARK = r"--- Page (\d+) \(([^)]*)\) ---\n?"
 
 
@@ -104,22 +105,26 @@ def text_lines(words: DataFrame, keys: list[str], top: str = "top", left: str =
     wide gaps become tabs.
     """
 
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([top, left], kind="stable")
-        first, line, number = None, -1, []
-        for y in frame[top]:
-            if first is None or y - first > gap:
-                first, line = y, line + 1
-            number.append(line)
-        rows = []
-        for n, own in frame.assign(line=number).groupby("line"):
-            own = own.sort_values(left, kind="stable")
+    late = lambda x: (x is None, x if x is not None else 0.0)
+
+    def cluster(rows: list[tuple]) -> list[tuple]:
+        found: list[list[tuple]] = []
+        first = None
+        for row in rows:
+            y = row[0]
+            if not found or (y is not None and first is not None and y - first > gap):
+                found.append([])
+                first = y
+            found[-1].append(row)
+        out = []
+        for n, own in enumerate(found):
             text, edge = "", None
-            for word, x, end in zip(own["text"], own[left], own[right], strict=True):
-                text += ("" if edge is None else "\t" if x - edge > tab else " ") + word
+            for k, (_, x, end, word) in enumerate(sorted(own, key=lambda r: late(r[1]))):
+                far = x is not None and edge is not None and x - edge > tab
+                text += ("" if k == 0 else "\t" if far else " ") + word
                 edge = end
-            rows.append({**{k: own[k].iloc[0] for k in keys}, "line": int(n), "text": text})
-        return pd.DataFrame(rows)
+            out.append((n, text))
+        return out
 
-    schema = T.StructType([*[words.schema[k] for k in keys], T.StructField("line", T.LongType()), T.StructField("text", T.StringType())])
-    return words.groupBy(*keys).applyInPandas(cluster, schema)
+    order = [F.col(c).asc_nulls_last() for c in (top, left, right, "text")]
+    return fold_groups(words, keys, order, [top, left, right, "text"], cluster, [T.StructField("line", T.LongType()), T.StructField("text", T.StringType())])
