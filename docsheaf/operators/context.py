@@ -222,12 +222,12 @@ def reference_gate(items: DataFrame, cells: DataFrame, on: list[str]) -> DataFra
     """Items (on, status, result_cell, label_cell, unit_cell, raw_value) with the gate's answer.
 
     The three cells must exist, be different ones of one table row, and the result must be the literal value, one
-    plain number.
+    plain number.  Cells are as many as the pages' tables have, so they are merged: never sent to every task.
     """
     df = items
     for role in ("result", "label", "unit"):
         own = cells.select(*on, F.col("cell_id").alias(f"{role}_cell"), F.struct("table_no", "row_no").alias(f"__{role}_row"), F.col("text").alias(f"__{role}"))
-        df = df.join(own, [*on, f"{role}_cell"], "left")
+        df = df.join(own.hint("merge"), [*on, f"{role}_cell"], "left")
     missing = F.col("__result_row").isNull() | F.col("__label_row").isNull() | F.col("__unit_row").isNull()
     collide = F.size(F.array_distinct(F.array("result_cell", "label_cell", "unit_cell"))) < 3
     across = (F.col("__result_row") != F.col("__label_row")) | (F.col("__result_row") != F.col("__unit_row"))
@@ -251,7 +251,7 @@ def adopted(current: DataFrame, proposals: DataFrame, on: list[str]) -> DataFram
     Several different proposals for one value are none.
     """
     ok = proposals.filter("gate = 'reference_valid_only'").groupBy(*on).agg(F.count_distinct("raw_value").alias("__n"), F.min("raw_value").alias("__new")).filter("__n = 1").drop("__n")
-    df = current.join(ok, on, "left")
+    df = current.join(ok.hint("merge"), on, "left")
     differs = F.col("__new").isNotNull() & ~F.col("value").eqNullSafe(F.col("__new"))
     return df.withColumn("prior", F.when(differs, F.col("value"))).withColumn("value", F.coalesce("__new", "value")).drop("__new")
 
