@@ -165,8 +165,8 @@ def supplemented(primary: DataFrame, supplement: DataFrame, doc: str, page: str,
     b = supplement.select(doc, page, F.col("text").alias("__more"), F.col(identifier).alias("__ib"))
     both = a.join(b, [doc, page], "full")
     bad = F.col("text").isNull() | F.col("__more").isNull() | F.coalesce(F.col("__ia") != F.col("__ib"), F.lit(False))
-    docs = both.groupBy(doc).agg(F.bool_or(bad).alias("conflict"))
-    return both.join(docs, doc).select(doc, page, F.concat_ws("\n", "text", "__more").alias("text"), "conflict")
+    rows = both.filter(F.col(doc).isNotNull()).select(doc, page, F.concat_ws("\n", "text", "__more").alias("text"), bad.alias("__bad"))
+    return rows.select(doc, page, "text", F.bool_or("__bad").over(Window.partitionBy(doc)).alias("conflict"))
 
 
 def witnessed(primary: DataFrame, witness: DataFrame, on: list[str], value: str) -> DataFrame:
