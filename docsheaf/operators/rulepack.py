@@ -102,24 +102,32 @@ def extract_measurements(lines: DataFrame, keys: list[str], text: str, templates
     """
     found = []
     for t in templates:
-        rest = F.regexp_extract(text, rf"(?:{t.label})\s*[:：]?\s*(.*)$", 1)
         limited = rf"{t.limit}(?:[ \t]*{_UNIT})?"
-        limits = F.regexp_extract_all(rest, F.lit(f"({limited})"), F.lit(1))
-        values = _quantities(F.regexp_replace(rest, limited, " "), t.value, t.unit)
-        bounds = _quantities(F.regexp_replace(limits[0], r"^[^\d-]+", ""), r"\d+(?:\.\d+)?", t.unit)
-        one = F.size(limits) == 1
-        sure = (F.size(values) > 0) & ~F.exists(values, lambda v: v.isNull()) & (F.size(limits) <= 1) & (~one | bounds[0].isNotNull())
-        found.append(
-            F.when(
-                F.regexp_like(text, F.lit(t.label)),
-                F.struct(
-                    F.lit(t.item).alias("item"),
-                    F.lit(t.unit).alias("unit"),
-                    F.when(one, F.translate(F.regexp_extract(limits[0], r"^[^\d]+", 0), " ", "")).alias("limit_op"),
-                    F.when(one, bounds[0]).alias("limit"),
-                    values.alias("values"),
-                    F.when(sure, "complete").otherwise("unresolved").alias("status"),
-                ),
+
+        def parted(rest: Column) -> Column:
+            return F.struct(F.regexp_extract_all(rest, F.lit(f"({limited})"), F.lit(1)).alias("limits"), F.regexp_replace(rest, limited, " ").alias("plain"))
+
+        def read(r: Column) -> Column:
+            limit = F.get(r["limits"], F.lit(0))
+            return F.struct((F.size(r["limits"]) == 1).alias("one"), (F.size(r["limits"]) <= 1).alias("few"), F.translate(F.regexp_extract(limit, r"^[^\d]+", 0), " ", "").alias("op"), F.regexp_replace(limit, r"^[^\d-]+", "").alias("amount"), _quantities(r["plain"], t.value, t.unit).alias("values"))
+
+        def bounded(r: Column) -> Column:
+            return F.struct(r["one"].alias("one"), r["few"].alias("few"), r["op"].alias("op"), F.get(_quantities(r["amount"], r"\d+(?:\.\d+)?", t.unit), F.lit(0)).alias("bound"), r["values"].alias("values"))
+
+        def measured(r: Column) -> Column:
+            sure = (F.size(r["values"]) > 0) & ~F.exists(r["values"], lambda v: v.isNull()) & r["few"] & (~r["one"] | r["bound"].isNotNull())
+            return F.struct(
+                F.lit(t.item).alias("item"),
+                F.lit(t.unit).alias("unit"),
+                F.when(r["one"], r["op"]).alias("limit_op"),
+                F.when(r["one"], r["bound"]).alias("limit"),
+                r["values"].alias("values"),
+                F.when(sure, "complete").otherwise("unresolved").alias("status"),
             )
-        )
+
+        # Each step runs over the one result of the step before; columns that name a result twice would work it out twice.
+        steps = F.array(F.regexp_extract(text, rf"(?:{t.label})\s*[:：]?\s*(.*)$", 1))
+        for step in (parted, read, bounded, measured):
+            steps = F.transform(steps, step)
+        found.append(F.when(F.regexp_like(text, F.lit(t.label)), F.get(steps, F.lit(0))))
     return lines.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("m")).select(*keys, "m.*")

@@ -2,7 +2,7 @@
 
 import __spark_entry__
 from docsheaf.llm import exact
-from docsheaf.operators import context, matching
+from docsheaf.operators import context, matching, packs, rulepack
 from docsheaf.plans.tables import dealt
 
 
@@ -71,6 +71,13 @@ def test_groups_stream_and_supplements_join_once(spark, sf_dir):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_measurements_read_each_number_once(spark):
+    line = spark.createDataFrame([(1, "失重：≤ 2 mg/cm2 1.5 / 20 g/m2"), (2, "失重 ≤ 2 ≥ 1 1"), (3, "失重：无"), (4, None)], "k int, line string")
+    found = rulepack.extract_measurements(line, ["k"], "line", packs.MEASUREMENTS)
+    assert sorted((r["k"], r["limit_op"], r["limit"], r["values"], r["status"]) for r in found.collect()) == [(1, "≤", 2.0, [1.5, 2.0], "complete"), (2, None, None, [1.0], "unresolved"), (3, None, None, [], "unresolved")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2 * len(packs.MEASUREMENTS)
+
+
 def test_exact_stage_goes_through_the_index(spark, sf_dir, monkeypatch):
     seen = []
     ingest = exact.DigestIndex.ingest
