@@ -66,6 +66,45 @@ def test_against_brute_force(spark, seed):
     assert right >= 0.99 * len(rows), (right, len(rows))
 
 
+def near_the_bound(seed, groups=12, size=12):
+    """Texts that differ from one another by about as much as links allow, some in chains."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(rng.choice([9, 14, 30, 60, 150, 400, 1500]))]
+        for _ in range(size):
+            new = list(base)
+            for _ in range(rng.randint(0, max(1, len(new) // 30))):
+                new[rng.randrange(len(new))] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(new))
+            base = new if rng.random() < 0.4 else base
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "sketch"), [(1, {"bins": 8, "rows": 8}), (2, {"bins": 8, "rows": 8, "block_nodes": 4}), (3, {"rounds": 0}), (4, {})])
+def test_no_link_is_lost_whatever_the_sketches(spark, seed, sketch):
+    rows = near_the_bound(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, **sketch).collect())
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 12
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("percent", [60, 85, 97])
+def test_linked_sets_share_a_key_of_a_whole_bin(percent):
+    rng, met = np.random.default_rng(5), 0
+    for _ in range(400):
+        pool = np.unique(rng.integers(0, 1 << 56, int(np.exp(rng.uniform(0.7, 6.5))) + 1, dtype=np.uint64))
+        a, b = (np.sort(rng.permutation(pool)[: max(1, len(pool) - int(rng.integers(0, 2 + len(pool) * (100 - percent) // 150)))]) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (len(a) + len(b) - common):
+            met += 1
+            assert len(np.intersect1d(*[np.concatenate(minhash.bin_keys(x, percent)) for x in (a, b)]))
+            assert minhash.folded(np.frombuffer(minhash.signature(a), dtype=np.uint64), 8).size == 8
+    assert met > 100
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark):
     rows = [(None, "a b c d"), (None, "A b c d"), (None, "q r s t"), (4, "q r s t"), (4, "m n o p"), (9, "M n o p"), (None, None), (3, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
