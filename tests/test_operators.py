@@ -1,6 +1,7 @@
 import functools
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +279,24 @@ def test_merge_policy_needs_an_active_rule(spark):
     assert run(("m", "merge_policy", "active", 1, 1), ("m", "other", "archived", 2, 2)) == merged
     assert run(("m", "merge_policy", "active", 1, 1), ("m", "other", "active", 2, 2)) == apart
     assert run() == run(("n", "merge_policy", "active", 1, 1)) == run(("m", "merge_policy", None, 1, 1)) == apart
+
+
+def test_similarity_takes_a_floor_per_row_and_best_matches_lose_nothing_to_it(spark):
+    rows = [("abcd", "abxy", 0.5), ("abcd", "abxy", 0.6), ("a" * 3 + "b", "a" * 4 + "c" * 40, 0.25), ("abc", "xabcx", 0.9)]
+    df = spark.createDataFrame(rows, "a string, b string, least double")
+    assert [r[0] for r in df.select(compare.similarity(F.col("a"), F.col("b"), F.col("least"))).collect()] == [0.5, 0.0, 0.0, 1.0]
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))
+    old, new = ([(c, i, word(), word()[:2]) for c in range(8) for i in range(4)] for _ in range(2))
+
+    def plain(a, b):
+        return 0.0 if not a or not b else 1.0 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+
+    old.append((9, 0, "alone", ""))
+    for least in (0.2, 0.48, 0.7):
+        want = []
+        for c, i, item, sample in old:
+            score, j = max(((0.8 * plain(item, x) + (1 - 0.8) * plain(sample, y), -k) for d, k, x, y in new if d == c), default=(0.0, 0))
+            want.append((c, i, -j, round(score, 6)) if score >= least else (c, i, None, None))
+        got = compare.best_matches(*(spark.createDataFrame(r, "c int, id int, item string, sample string") for r in (old, new)), "c", least)
+        assert sorted((r[0], r[1], r[2], r[3]) for r in got.collect()) == want
