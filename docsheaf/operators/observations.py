@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,22 +16,25 @@ def coordinate_rows(boxes: DataFrame, keys: list[str], headers: dict[str, Sequen
     """(keys, row, a column per role, reason) of boxes (left, right, top, text) below a page's header.
 
     Every role must stand in the header once.  A box belongs to the role whose header is nearest to its middle; rows are
-    stretches of boxes without a vertical gap.  Two boxes of one role in a row leave it open.
+    stretches of boxes without a vertical gap.  Two boxes of one role in a row leave it open.  The boxes are read once:
+    windows over a page carry its header to its rows, so nothing is joined or broadcast.
     """
     plain = F.regexp_replace("text", r"(?U)\s+", "")
     role = F.coalesce(*[F.when(plain.isin(*words), F.lit(name)) for name, words in headers.items()], F.lit(None).cast("string"))
     middle = (F.col("left") + F.col("right")) / 2
-    marked = boxes.withColumn("__role", role).withColumn("__x", middle)
-    head = marked.filter("__role is not null").groupBy(*keys).agg(F.count("*").alias("__n"), F.count_distinct("__role").alias("__d"), F.max("top").alias("__top"), F.collect_list(F.struct(F.col("__x").alias("x"), F.col("__role").alias("role"))).alias("__heads"))
-    good = head.filter((F.col("__n") == len(headers)) & (F.col("__d") == len(headers)))
-    body = marked.filter("__role is null").join(good, keys).filter("top > __top")
+    page = Window.partitionBy(*keys).orderBy("top").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = boxes.withColumns({"__role": role, "__x": middle})
+    once = [F.count_if(F.col("__role") == r).over(page) == 1 for r in headers]
+    heads = F.array(*[F.struct(F.max(F.when(F.col("__role") == r, F.col("__x"))).over(page).alias("x"), F.lit(r).alias("role")) for r in headers])
+    seen = marked.withColumns({"__good": functools.reduce(operator.and_, once, F.lit(True)), "__top": F.max(F.when(F.col("__role").isNotNull(), F.col("top"))).over(page), "__heads": heads})
+    body = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys], F.col("__good") & F.col("__role").isNull() & (F.col("top") > F.col("__top")))
+    kept = seen.filter(body | (~F.col("__good") & F.col("__role").isNotNull()))
     nearest = F.array_min(F.transform("__heads", lambda h: F.struct(F.abs(h["x"] - F.col("__x")).alias("d"), h["role"].alias("role"))))["role"]
-    lined = segments.islands(body.withColumn("__own", nearest), keys, "top", gap, "row")
+    lined = segments.islands(kept.withColumn("__own", F.when(F.col("__good"), nearest)), keys, "top", gap, "row")
     cells = [F.min(F.when(F.col("__own") == r, F.col("text"))).alias(r) for r in headers]
     crowded = F.greatest(*[F.count_if(F.col("__own") == r) for r in headers]) > 1 if len(headers) > 1 else F.count("*") > 1
-    rows = lined.groupBy(*keys, "row").agg(*cells, F.when(crowded, "several_values").alias("reason"))
-    lost = head.filter((F.col("__n") != len(headers)) | (F.col("__d") != len(headers))).select(*keys, F.lit(None).cast("long").alias("row"), *[F.lit(None).cast("string").alias(r) for r in headers], F.lit("header_not_unique").alias("reason"))
-    return rows.withColumn("row", F.col("row").cast("long")).unionByName(lost)
+    numbered = lined.withColumn("row", F.when(F.col("__good"), F.col("row").cast("long")))
+    return numbered.groupBy(*keys, "row").agg(*cells, F.when(F.col("row").isNull(), "header_not_unique").when(crowded, "several_values").alias("reason"))
 
 
 def labelled_boxes(boxes: DataFrame, keys: list[str], labels: dict[str, str], value: str, height: float = 5.0) -> DataFrame:

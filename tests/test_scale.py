@@ -4,7 +4,7 @@ import duckdb
 
 import __spark_entry__
 from docsheaf.llm import exact
-from docsheaf.operators import context, matching, packs, rulepack
+from docsheaf.operators import context, matching, observations, packs, rulepack
 from docsheaf.plans.tables import dealt
 
 
@@ -73,6 +73,26 @@ def test_boxes_of_parts_that_are_dealt(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, sql))
 
 
+def test_boxes_of_a_union_of_dealt_tables(spark, tmp_path):
+    spark.range(300).selectExpr("id k").write.parquet(str(tmp_path / "t"))
+
+    def boxes(when, *page):
+        rows = ", ".join(f"struct('{t}' as text, {x}D as left, {x + 10}D as right, {y}D as top)" for t, x, y in page)
+        return dealt(spark.read.parquet(str(tmp_path / "t")), "k", rows=100).selectExpr("k", f"explode(array({rows})) b").filter(when).select("k", "b.*")
+
+    pages = boxes("true", ("项 目", 0, 0), ("结果", 50, 1), ("厚度", 2, 20), ("5", 48, 22)).unionByName(boxes("k % 3 = 1", ("7", 40, 22))).unionByName(boxes("k % 3 = 2", ("结果", 80, 0)))
+    expected = sorted((k, *[("1", "厚度", "5", "None"), ("1", "厚度", "5", "several_values"), ("None", "None", "None", "header_not_unique")][k % 3]) for k in range(300))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("-1", kept):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = observations.coordinate_rows(pages, ["k"], {"item": ["项目"], "result": ["结果"]})
+            assert sorted((r["k"], *[str(r[c]) for c in ("row", "item", "result", "reason")]) for r in got.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Join" not in plan(got)
+
+
 def test_groups_stream_and_supplements_join_once(spark, sf_dir):
     for name in ("page_text_lines", "column_witnesses"):
         assert "FlatMapGroupsInPandas" not in plan(__spark_entry__.queries()[name](spark, sf_dir)), name
