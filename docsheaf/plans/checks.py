@@ -155,11 +155,12 @@ def page_supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes near a gap, cells in column bands, overlapping readings and a second layer, page by page of parts."""
     one = lambda **cols: parts(spark, sf_dir).select("p_partkey", *[v.alias(k) for k, v in cols.items()])
+    some = lambda *rows: one(b=F.explode(F.array(*[F.struct(*[v.alias(k) for k, v in r.items()]) for r in rows]))).select("p_partkey", "b.*")
     d = lambda v: F.lit(float(v))
     gaps = one(id=part_key(), left=d(10), top=d(10))
-    boxes = one(left=d(12), top=F.when(part_key() % 3 == 1, d(14)).otherwise(d(9)), text=part_type()).unionByName(one(left=F.when(part_key() % 3 == 2, d(11)).otherwise(d(99)), top=d(10), text=part_type()))
+    boxes = some({"left": d(12), "top": F.when(part_key() % 3 == 1, d(14)).otherwise(d(9)), "text": part_type()}, {"left": F.when(part_key() % 3 == 2, d(11)).otherwise(d(99)), "top": d(10), "text": part_type()})
     found = matching.band_matches(gaps, boxes, ["p_partkey"], ["left", "top"], 3).select("p_partkey", "found")
-    bands = one(column=F.lit("a"), lo=d(0), hi=d(10)).unionByName(one(column=F.lit("b"), lo=d(10), hi=d(20))).unionByName(one(column=F.lit("c"), lo=d(20), hi=d(30)))
+    bands = some(*[{"column": F.lit(c), "lo": d(10 * n), "hi": d(10 * n + 10)} for n, c in enumerate("abc")])
     start = (part_size() % 4 * 10).cast("double")
     cells = one(cell_id=part_key(), left=start + 1, right=start + F.when(part_size() % 4 == 3, 2).otherwise(9))
     placed = evidence.in_columns(cells, bands, ["p_partkey"]).select("p_partkey", F.col("column").alias("column_name"))

@@ -93,6 +93,22 @@ def test_boxes_of_a_union_of_dealt_tables(spark, tmp_path):
     assert "Join" not in plan(got)
 
 
+def test_box_matches_of_parts_that_are_dealt_and_merged(spark, tmp_path):
+    parts = str(tmp_path / "part.parquet")
+    spark.range(60_000).selectExpr("id p_partkey", "cast(1 + id % 50 as int) p_size", "concat('t', id % 7) p_type").coalesce(1).write.parquet(parts)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{parts}/*.parquet'")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = __spark_entry__.queries()["box_matches"](spark, str(tmp_path))
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    sql = con.sql(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()['box_matches']})").fetchall()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, sql))
+
+
 def test_groups_stream_and_supplements_join_once(spark, sf_dir):
     for name in ("page_text_lines", "column_witnesses"):
         assert "FlatMapGroupsInPandas" not in plan(__spark_entry__.queries()[name](spark, sf_dir)), name
